@@ -1,0 +1 @@
+"""recordloom.functions"""
