@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_tree, matroska, token_counts
+from recordloom.llm import bpe_tree, language_id, matroska, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_docs(spark, sf_dir))
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(_docs(spark, sf_dir))
 
@@ -24,5 +28,5 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(_docs(spark, sf_dir), "byte_bpe_multi_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op2_matroska, op3_token_counts, op6_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op6_bpe_tree)}
 ORACLE: dict[str, str] = {}
