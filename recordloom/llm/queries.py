@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_tree, language_id, matroska, token_counts
+from recordloom.llm import bpe_tree, language_id, matroska, secrets, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,13 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(_docs(spark, sf_dir), "byte_bpe_multi_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op6_bpe_tree)}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op6_bpe_tree, op7_url_filter, op10_secrets)}
 ORACLE: dict[str, str] = {}
