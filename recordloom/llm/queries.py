@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_tree, language_id, matroska, secrets, token_counts, url_filter
+from recordloom.llm import bpe_tree, language_id, matroska, packing, secrets, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), "byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), "word_bpe_49k.json")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(_docs(spark, sf_dir), "byte_bpe_multi_50k.tiktoken")
 
@@ -36,5 +40,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op6_bpe_tree, op7_url_filter, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op6_bpe_tree, op7_url_filter, op10_secrets)}
 ORACLE: dict[str, str] = {}
