@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_tree, itq, language_id, matroska, packing, secrets, token_counts, url_filter
+from recordloom.llm import bpe_tree, itq, language_id, matroska, packing, secrets, substring_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), "word_bpe_49k.json")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_docs(spark, sf_dir), digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(_docs(spark, sf_dir), "byte_bpe_multi_50k.tiktoken")
 
@@ -44,5 +48,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op6_bpe_tree, op7_url_filter, op9_itq, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op5_substring_dedup, op6_bpe_tree, op7_url_filter, op9_itq, op10_secrets)}
 ORACLE: dict[str, str] = {}
