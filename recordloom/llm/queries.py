@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe_tree, itq, language_id, matroska, packing, secrets, substring_dedup, token_counts, url_filter
+from recordloom.llm import bpe_tree, itq, jaccard_join, language_id, matroska, packing, secrets, substring_dedup, token_counts, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
@@ -48,5 +52,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op5_substring_dedup, op6_bpe_tree, op7_url_filter, op9_itq, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op5_substring_dedup, op6_bpe_tree, op7_url_filter, op8_jaccard_join, op9_itq, op10_secrets)}
 ORACLE: dict[str, str] = {}
