@@ -2,9 +2,9 @@
 
 :func:`fit` learns a PCA projection and a rotation that makes its sign bits balanced, from at most ``sample``
 vectors (by a hash of their ids).  Every vector gets a code of up to 64 bits.  The code is cut into tables of ``s``
-bits; two vectors meet in a table where their parts differ in at most ``r`` bits.  ``s`` grows with the logarithm of
-the number of vectors, so a bucket keeps about the same size, and ``r`` is the least that finds a pair at the
-threshold with probability 0.9 or more by the binomial model of ITQ bits (nearer pairs are found more surely).
+bits; two vectors meet in a table where their parts differ in at most ``r`` bits.  ``r`` is the least that finds a
+pair at the threshold with probability 0.9 or more by the binomial model of ITQ bits (nearer pairs are found more
+surely), and ``s`` the cheapest for the number of vectors: more bits mean smaller buckets and more probes.
 Met pairs are reranked by the cosine of the original vectors in double precision; a pair counts in the first table
 where it meets.
 
@@ -65,16 +65,26 @@ def learn(unit: np.ndarray, rounds: int = 30, seed: int = 3) -> Quantiser:
     return Quantiser(mean, axes @ r)
 
 
+#: Seconds to move a row and to compare two codes, as measured; only their ratio matters.
+ROW_S, PAIR_S = 2e-6, 5e-9
+
+
 def tables(n: int, bits: int, threshold: float = THRESHOLD, found: float = FOUND) -> tuple[int, int, int]:
-    """Bits of a table, number of tables and radius for ``n`` vectors."""
-    s = max(1, min(bits, max(8, math.ceil(math.log2(max(2, n / 64))))))
-    m = bits // s
+    """Bits of a table, number of tables and radius for ``n`` vectors: the cheapest that find enough."""
     p = math.acos(threshold) / math.pi
-    for r in range(s + 1):
-        near = sum(math.comb(s, i) * p**i * (1 - p) ** (s - i) for i in range(r + 1))
-        if 1 - (1 - near) ** m >= found:
-            return s, m, r
-    return s, m, s
+    best = None
+    for s in range(min(8, bits), min(24, bits) + 1):
+        m = bits // s
+        near = 0.0
+        for r in range(s + 1):
+            near += math.comb(s, r) * p**r * (1 - p) ** (s - r)
+            if 1 - (1 - near) ** m >= found:
+                break
+        probes = sum(math.comb(s, i) for i in range(r + 1))
+        cost = n * m * probes * ROW_S + n * n * m * probes / 2**s * PAIR_S
+        if best is None or cost < best[0]:
+            best = cost, (s, m, r)
+    return best[1]
 
 
 def flips(s: int, r: int) -> np.ndarray:
@@ -111,13 +121,13 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Quantiser]:
     return {d: learn(np.array(x)) for d, x in by.items()}
 
 
-def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int) -> DataFrame:
-    """``(key, role, id, code, unit)``: role 0 for the table a vector lies in, 1 for those its queries look into."""
+def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int, kind: str) -> DataFrame:
+    """``(key, role, id, code, raw)``: role 0 for the bucket a vector lies in, 1 for others that its queries look into."""
 
     def each(batches):
         for b in batches:
-            ids = b.column("id").to_pylist()
-            rows, keep = _unit(b.column("v").to_pylist())
+            ids, values = b.column("id").to_pylist(), b.column("v").to_pylist()
+            rows, keep = _unit(values)
             by: dict[int, list[int]] = {}
             for i, x in enumerate(rows):
                 by.setdefault(len(x), []).append(i)
@@ -129,71 +139,105 @@ def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int) -> Data
                 x = np.array([rows[i] for i in at])
                 code = q.codes(x)
                 names = [ids[keep[i]] for i in at]
-                raw = [v.tobytes() for v in x]
+                raw = [np.array(values[keep[i]], kind).tobytes() for i in at]
                 for t in range(m):
                     part = code >> np.uint64(t * s) & np.uint64((1 << s) - 1)
                     base = np.uint64((d << 6 | t) << 32)
-                    for role, masks in ((0, [np.uint64(0)]), (1, flips(s, r))):
-                        for mask in masks:
-                            yield pa.RecordBatch.from_arrays([pa.array((base | part ^ mask).astype(np.int64)), pa.array(np.full(len(x), role, np.int32)), pa.array(names, b.column("id").type), pa.array(code.astype(np.int64)), pa.array(raw, pa.binary())], ["key", "role", "id", "code", "unit"])
+                    for mask in flips(s, r):
+                        yield pa.RecordBatch.from_arrays([pa.array((base | part ^ mask).astype(np.int64)), pa.array(np.full(len(x), int(mask != 0), np.int32)), pa.array(names, b.column("id").type), pa.array(code.astype(np.int64)), pa.array(raw, pa.binary())], ["key", "role", "id", "code", "raw"])
+
+    return vectors.mapInArrow(each, f"key bigint, role int, id {vectors.schema['id'].dataType.simpleString()}, code bigint, raw binary")
+
+
+class Bucket:
+    """The vectors a task holds of one bucket, or of a block of it."""
+
+    def __init__(self, key: int, n: int, bits_of: dict[int, int], threshold: float):
+        d = key >> 38
+        self.table = key >> 32 & 63
+        s, _, self.radius = tables(n, bits_of.get(d, min(64, d)))
+        self.s, self.mask, self.threshold = s, np.uint64((1 << s) - 1), threshold
+        self.ids: list = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ready = False
+
+    def close(self) -> None:
+        self.code, self.unit = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.label, self.ready = np.arange(len(self.ids)), True
+
+    def ask(self, ids: list, code: np.ndarray, unit: np.ndarray, out: list[tuple]) -> None:
+        """Links of the queries with what is held: ``(id, links, a, b)`` rows, of which a and b are forest edges."""
+        for i in range(0, len(ids), 512):
+            diff = code[i : i + 512, None] ^ self.code[None]
+            met = np.bitwise_count(diff >> np.uint64(self.table * self.s) & self.mask) <= self.radius
+            for t in range(self.table):  # these have met before
+                met &= np.bitwise_count(diff >> np.uint64(t * self.s) & self.mask) > self.radius
+            q, k = np.nonzero(met)
+            for j in range(0, len(q), 65536):
+                near = np.einsum("ij,ij->i", unit[i + q[j : j + 65536]], self.unit[k[j : j + 65536]]) >= self.threshold
+                self._link(ids, i + q[j : j + 65536][near], k[j : j + 65536][near], out)
+
+    def _link(self, ids: list, q: np.ndarray, k: np.ndarray, out: list[tuple]) -> None:
+        if not len(q):
+            return
+        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        for a, z in zip(cut, [*cut[1:], len(q)], strict=True):
+            own = ids[q[a]]
+            hits = [h for h in k[a:z].tolist() if self.ids[h] != own]
+            if not hits:
+                continue
+            out.append((own, len(hits), own, self.ids[hits[0]]))
+            kinds = np.unique(self.label[hits])
+            for other in kinds[1:]:
+                out.append((None, 0, self.ids[other], self.ids[kinds[0]]))
+                self.label[self.label == other] = kinds[0]
+
+
+def _linker(bits_of: dict[int, int], n: int, threshold: float, kind: str):
+    """Per-task search: rows come sorted by key, block and role."""
 
-    return vectors.mapInArrow(each, f"key bigint, role int, id {vectors.schema['id'].dataType.simpleString()}, code bigint, unit binary")
+    def each(batches):
+        group, bucket = None, None
+        out: list[tuple] = []
+        id_type = None
 
+        def finish():
+            if bucket is not None and not bucket.ready and bucket.ids:
+                bucket.close()
+                bucket.ask(bucket.ids, bucket.code, bucket.unit, out)
 
-def _linker(bits_of: dict[int, int], n: int, threshold: float):
-    """Per-task search: rows come sorted by key, block and role."""
+        def batch():
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            got = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (id_type, pa.int64(), id_type, id_type), strict=True)], ["id", "n", "a", "b"])
+            out.clear()
+            return got
 
-    def each(batches):
-        group, ids, codes, unit, label = None, [], [], [], None
         for b in batches:
+            if not b.num_rows:
+                continue
+            id_type = b.column("id").type
             key, block, role = (b.column(c).to_numpy() for c in ("key", "block", "role"))
             code = b.column("code").to_numpy().astype(np.uint64)
-            name, raw = b.column("id").to_pylist(), b.column("unit")
-            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])]) if len(key) else []
+            name, raw = b.column("id").to_pylist(), b.column("raw").to_pylist()
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])])
             for a, z in zip(cut, [*cut[1:], len(key)], strict=True):
-                here = (key[a], block[a])
-                if here != group:
-                    group, ids, codes, unit, label = here, [], [], [], None
-                d = int(key[a] >> 38)
-                x = np.frombuffer(b"".join(raw[int(i)].as_py() for i in range(a, z)), np.float64).reshape(z - a, d)
+                if (key[a], block[a]) != group:
+                    finish()
+                    group, bucket = (key[a], block[a]), Bucket(int(key[a]), n, bits_of, threshold)
+                x = np.frombuffer(b"".join(raw[a:z]), kind).astype(np.float64).reshape(z - a, -1)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if role[a] == 0:
-                    ids += name[a:z]
-                    codes.append(code[a:z])
-                    unit.append(x)
-                    continue
-                if not ids:
+                    bucket.ids += name[a:z]
+                    bucket.parts.append((code[a:z], x))
                     continue
-                if label is None:
-                    codes, unit, label = [np.concatenate(codes)], [np.concatenate(unit)], np.arange(len(ids))
-                s, m, r = tables(n, bits_of.get(d, min(64, d)))
-                table, mask = int(key[a] >> 32) & 63, np.uint64((1 << s) - 1)
-                src, count, left, right = [], [], [], []
-                for i in range(a, z, 512):
-                    j = min(z, i + 512)
-                    diff = code[i:j, None] ^ codes[0][None]
-                    met = np.ones(diff.shape, bool)
-                    for t in range(table):
-                        met &= np.bitwise_count(diff >> np.uint64(t * s) & mask) > r
-                    q, k = np.nonzero(met)
-                    near = np.einsum("ij,ij->i", x[i - a + q], unit[0][k]) >= threshold
-                    q, k = q[near], k[near]
-                    for u in np.unique(q):
-                        own = name[i + u]
-                        hits = [h for h in k[q == u] if ids[h] != own]
-                        if not hits:
-                            continue
-                        src.append(own)
-                        count.append(len(hits))
-                        left.append(own)
-                        right.append(ids[hits[0]])
-                        kinds = np.unique(label[hits])
-                        for other in kinds[1:]:
-                            left.append(ids[other])
-                            right.append(ids[kinds[0]])
-                            label[label == other] = kinds[0]
-                more = len(left) - len(src)
-                kind = b.column("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(src + [None] * more, kind), pa.array(count + [0] * more, pa.int64()), pa.array(left, kind), pa.array(right, kind)], ["id", "n", "a", "b"])
+                finish()
+                if bucket.ready:
+                    bucket.ask(name[a:z], code[a:z], x, out)
+            if len(out) > 10_000:
+                yield batch()
+        finish()
+        if out:
+            yield batch()
 
     return each
 
@@ -204,13 +248,16 @@ def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thr
     n = src.count()
     usable = src.where("id is not null and v is not null").dropDuplicates(["id"])
     quantisers = fit(usable, sample)
-    keyed = _keyed(usable, quantisers, n)
+    wide_type = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    keyed = _keyed(usable, quantisers, n, wide_type)
     wide = keyed.where("role = 0").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(wide, "key").withColumn("block", F.explode(F.expr("IF(role = 0, array(CAST(pmod(xxhash64(id), blocks) AS int)), sequence(0, blocks - 1))"))).drop("blocks")
+    # a vector is held in one block of its bucket and asks all of them
+    every = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('block', x, 'role', IF(role = 0 AND x = pmod(xxhash64(id), blocks), 0, 1)))"))
+    dealt = keyed.join(wide, "key").select("key", "id", "code", "raw", every.alias("at")).select("key", "at.*", "id", "code", "raw")
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = src.schema["id"].dataType.simpleString()
     bits = {d: q.bits for d, q in quantisers.items()}
-    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linker(bits, n, threshold), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
+    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linker(bits, n, threshold, wide_type), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
     count = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
     comp = connected_components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
     out = src.select("id").join(count, "id", "left").join(comp, "id", "left")

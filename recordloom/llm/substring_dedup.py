@@ -111,6 +111,8 @@ def _stretches(marked: DataFrame) -> DataFrame:
                         heated[a:z] = np.isin(own, hot[at + i].values.to_numpy())
                 repeated &= starts
                 heated &= repeated
+                if not repeated.any():
+                    continue
                 cold = repeated & ~heated
                 edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (cold[1:] != cold[:-1])])
                 stop = np.append(edge[1:], len(least))
@@ -148,6 +150,8 @@ def locate(stretches: list[list[bytes]]) -> list[list[tuple[int, int]]]:
     _, inverse, count = np.unique(runs[at], return_inverse=True, return_counts=True)
     again = np.zeros(len(text), bool)
     again[at] = count[inverse] > 1
+    if not again.any():
+        return [[] for _ in stretches]
     # recurring passages, as exact words: numbers that only this shard gives
     number: dict[bytes, int] = {}
     ids = [tuple([number.setdefault(x, len(number)) for x in s]) for s in stretches]
@@ -157,8 +161,6 @@ def locate(stretches: list[list[bytes]]) -> list[list[tuple[int, int]]]:
         if again[a]:
             d = text[a]
             machine.add_word(ids[d][a - w.first[d] : z - w.first[d] + WINDOW - 1])
-    if not len(machine):
-        return [[] for _ in stretches]
     machine.make_automaton()
     out = []
     for seq in ids:
