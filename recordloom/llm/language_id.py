@@ -179,9 +179,9 @@ def _probabilities(net: Net, tables: tuple[np.ndarray, ...], data: list[bytes])
     return np.add.reduceat(p * weight[:, None], starts) / sizes[:, None]
 
 
-def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` of every whole text."""
-    src = texts(docs, id_col, text_col)
+def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, lang_pred, score)`` of every whole text."""
+    src = texts(docs, id_col, text_col) if not keep else docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
 
     def each(batches):
         tables = None
@@ -201,9 +201,10 @@ def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
                     for j, p in zip([x[0] for x in wait], _probabilities(net, tables, [x[1] for x in wait]), strict=True):
                         langs[j], scores[j] = net.langs[int(p.argmax())], float(min(1.0, p.max()))
                     wait, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(f"keep_{c}") for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", *keep, "lang_pred", "score"])
 
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}{kept}, lang_pred string, score double")
 
 
 def fit(labelled: DataFrame, **sizes) -> Net | None:

@@ -112,19 +112,20 @@ def log_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, smooth: float =
     return out
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, prior_odds: float = PRIOR_ODDS) -> DataFrame:
-    """``(id, text, base, spans)``: all base spans, and these with the method's; spans have start, kind, end and value."""
-    docs = texts(df, id_col, text_col)
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, prior_odds: float = PRIOR_ODDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, text, *keep, base, spans)``: all base spans, and these with the method's; spans have start, kind, end and value."""
+    docs = texts(df, id_col, text_col) if not keep else df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
+    kept = {c: F.col(c) for c in keep}
     table = ",".join(f"{x:.5f}" for x in log_ratios(docs, sample_docs))
     ratio = (
         f"aggregate({_chars('s.value')}, named_struct('last', -1, 'sum', 0D), (a, c) -> named_struct('last', ascii(c) - {LOW}, "
         f"'sum', a.sum + IF(a.last < 0, 0D, get(ratios, a.last * {SPAN} + ascii(c) - {LOW}))), a -> a.sum)"
     )
-    docs = _fixed(docs, id=F.col("id"), text=F.col("text"), long=long_token())
-    found = _fixed(docs, id=F.col("id"), text=F.col("text"), base=base_spans(), tokens=F.expr(spans("text", TOKEN, 3, 16, quick="long")))
+    docs = _fixed(docs, id=F.col("id"), text=F.col("text"), **kept, long=long_token())
+    found = _fixed(docs, id=F.col("id"), text=F.col("text"), **kept, base=base_spans(), tokens=F.expr(spans("text", TOKEN, 3, 16, quick="long")))
     ratios = f"CAST(split('{table}', ',') AS array<double>)"
     extra = f"filter(tokens, s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end) AND {ratio.replace('get(ratios', f'get({ratios}')} > {math.log(prior_odds)}D)"
-    return found.select("id", "text", "base", F.expr(f"CASE WHEN size(tokens) = 0 THEN base ELSE array_sort(concat(base, {extra})) END").alias("spans"))
+    return found.select("id", "text", *keep, "base", F.expr(f"CASE WHEN size(tokens) = 0 THEN base ELSE array_sort(concat(base, {extra})) END").alias("spans"))
 
 
 def joined(column: str) -> Column:
@@ -139,12 +140,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return scan(docs).select(F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-def redact(df: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text)`` with every stretch that spans cover replaced by ``mark``; other texts stay as they are."""
+def redact(df: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, text, *keep, changed)`` with every stretch that spans cover replaced by ``mark``; other texts stay as they are."""
     merged = (
         "aggregate(spans, CAST(array() AS array<struct<s:int,e:int>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(a, -1).e >= x.start "
         "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end)))) "
         "ELSE array_append(a, named_struct('s', x.start, 'e', x.end)) END)"
     )
     put = f"aggregate({merged}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), '{mark}')), a -> concat(a.out, substring(text, a.at + 1)))"
-    return scan(df, id_col, text_col).select("id", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {put} END").alias("text"))
+    return scan(df, id_col, text_col, keep=keep).select("id", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {put} END").alias("text"), *keep, F.expr("size(spans) > 0").alias("changed"))
