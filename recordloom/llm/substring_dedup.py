@@ -12,9 +12,10 @@ A window is ``WINDOW`` consecutive words.  The steps:
    occurrence.
 4. *Remove.*  Every document is read once more with its located spans.
 
-A seed with more than ``HOT`` occurrences is not dealt to one shard: its windows are counted as rows by two hashes
-(126 bits), which Spark sums before the shuffle, and joined back to where they start; the join's large keys are
-split at run time.  All other shards hold a bounded number of stretches at a time (whole seeds).
+A seed with more than ``HOT`` occurrences is not dealt to one shard: equal stretches of it are counted first, their
+windows then by two hashes (126 bits); Spark sums both before the shuffle, and joins the result back to where the
+stretches are, where the join's large keys are split at run time.  All other shards hold a bounded number of
+stretches at a time (whole seeds).
 
 A null text has no words.  Two rows with one id and one text count as two places; rows are told apart by hashes of
 id and text.  Texts of fewer than ``WINDOW`` words lose nothing.
@@ -35,7 +36,7 @@ from recordloom.llm.common import texts
 from recordloom.llm.words import Batch, chunks, window_max, window_min
 from recordloom.state.shared import materialise
 
-WINDOW, PHRASE, HOT = 35, 8, 1000
+WINDOW, PHRASE, HOT = 35, 8, 20_000
 SPAN = WINDOW - PHRASE + 1  # phrases of a window
 HELD = 20_000  # stretches that a shard holds at a time, but for one seed's
 
@@ -93,7 +94,7 @@ def seeds(keyed: DataFrame) -> DataFrame:
 
 
 def _stretches(marked: DataFrame) -> DataFrame:
-    """``(seed, hot, k, t, start, text)``: for each run of windows with one repeated seed, its words; hot ones as one row a window, by window hashes."""
+    """``(seed, hot, k, t, start, words)``: the words of each run of windows with one repeated seed."""
 
     def each(batches):
         for b in batches:
@@ -113,30 +114,51 @@ def _stretches(marked: DataFrame) -> DataFrame:
                 heated &= repeated
                 if not repeated.any():
                     continue
-                cold = repeated & ~heated
-                edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (cold[1:] != cold[:-1])])
+                edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (repeated[1:] != repeated[:-1])])
                 stop = np.append(edge[1:], len(least))
-                pick = cold[edge]
+                pick = repeated[edge]
                 edge, stop = edge[pick], stop[pick]
+                warm = heated[edge]
                 split = {i: data[i].split() for i in np.unique(text[edge])}
                 doc = text[edge]
                 local = edge - w.first[doc]
                 size = stop - edge + WINDOW - 1
                 body = [b" ".join(split[d][a : a + n]) for d, a, n in zip(doc, local, size, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[edge].astype(np.int64)), pa.nulls(len(edge), pa.int64()), pa.array(k[at + doc]), pa.array(t[at + doc]), pa.array(local.astype(np.int32)), pa.array(body, pa.binary())],
-                    ["seed", "other", "k", "t", "start", "words"],
+                    [pa.array(least[edge].astype(np.int64)), pa.array(warm), pa.array(k[at + doc]), pa.array(t[at + doc]), pa.array(local.astype(np.int32)), pa.array(body, pa.binary())],
+                    ["seed", "hot", "k", "t", "start", "words"],
                 )
-                at_hot = np.flatnonzero(heated)
-                if len(at_hot):
-                    one, two = w.runs(WINDOW), w.runs(WINDOW, salt=0xA5A5A5A5)
-                    doc = text[at_hot]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[at_hot].astype(np.int64)), pa.array(two[at_hot].astype(np.int64)), pa.array(k[at + doc]), pa.array(t[at + doc]), pa.array((at_hot - w.first[doc]).astype(np.int32)), pa.nulls(len(at_hot), pa.binary())],
-                        ["seed", "other", "k", "t", "start", "words"],
-                    )
 
-    return marked.mapInArrow(each, "seed bigint, other bigint, k bigint, t bigint, start int, words binary")
+    return marked.mapInArrow(each, "seed bigint, hot boolean, k bigint, t bigint, start int, words binary")
+
+
+def _windows(contents: DataFrame) -> DataFrame:
+    """``(words, pos, one, two, n)``: two hashes of every window of every distinct stretch, and how often the stretch occurs."""
+
+    def each(batches):
+        for b in batches:
+            for at, data in chunks(b.column("words").to_pylist()):
+                w = Batch.of(data)
+                text = np.repeat(np.arange(len(data)), w.count)
+                pick = np.flatnonzero(w.first[text] + w.count[text] - np.arange(len(text)) >= WINDOW)
+                doc = text[pick]
+                one, two = w.runs(WINDOW)[pick], w.runs(WINDOW, salt=0xA5A5A5A5)[pick]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("stretch").take(pa.array(at + doc)), pa.array((pick - w.first[doc]).astype(np.int32)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), b.column("n").take(pa.array(at + doc))],
+                    ["stretch", "pos", "one", "two", "n"],
+                )
+
+    return contents.mapInArrow(each, "stretch string, pos int, one bigint, two bigint, n bigint")
+
+
+def _hot_spans(rows: DataFrame) -> DataFrame:
+    """``(k, t, spans)`` of stretches of hot seeds: copies are counted before their windows are."""
+    named = rows.withColumn("stretch", F.md5("words"))
+    contents = named.groupBy("stretch").agg(F.count("*").alias("n"), F.first("words").alias("words")).select("stretch", "words", "n")
+    windows = _windows(contents)
+    many = windows.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
+    marks = windows.join(many, ["one", "two"]).groupBy("stretch").agg(F.collect_list("pos").alias("at"))
+    return named.select("stretch", "k", "t", "start").join(marks, "stretch").select("k", "t", F.expr(f"transform(at, p -> named_struct('a', start + p, 'z', start + p + {WINDOW}))").alias("spans"))
 
 
 def locate(stretches: list[list[bytes]]) -> list[list[tuple[int, int]]]:
@@ -204,11 +226,9 @@ def repeated_spans(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     marks = own.select("k", "t", "seed").join(again, "seed").groupBy("k", "t").agg(F.collect_set("seed").alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("seed"))).alias("hots"))
     marked = keyed.select("k", "t", "text").join(marks, ["k", "t"])
     rows = materialise(_stretches(marked), "stretches")
-    cold = rows.where("other is null").select("seed", "k", "t", "start", "words").repartition(parts, "seed").sortWithinPartitions("seed").mapInArrow(_shard, "k bigint, t bigint, a int, z int")
-    windows = rows.where("other is not null").select("seed", "other", "k", "t", "start")
-    many = windows.groupBy("seed", "other").agg(F.count("*").alias("n")).where("n > 1").select("seed", "other")
-    heated = windows.join(many, ["seed", "other"]).select("k", "t", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("z"))
-    return cold.union(heated).groupBy("k", "t").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    cold = rows.where("NOT hot").select("seed", "k", "t", "start", "words").repartition(parts, "seed").sortWithinPartitions("seed").mapInArrow(_shard, "k bigint, t bigint, a int, z int")
+    located = cold.select("k", "t", F.array(F.struct("a", "z")).alias("spans")).union(_hot_spans(rows.where("hot").select("words", "k", "t", "start")))
+    return located.groupBy("k", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _kept(data: bytes, spans) -> tuple[int, int, bytes]:
