@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from recordloom.plans import delta_queries, identity_queries, mapping_queries, resolve_queries  # noqa: F401
+from recordloom.plans.registry import ORACLE, QUERIES  # noqa: F401
