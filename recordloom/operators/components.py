@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from recordloom.state.shared import drop, materialise
 
 
+SMALL = 1_000_000
+
+
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Link the neighbours of every node (only the larger, or only the smaller ones) to its least neighbour."""
     if larger_only:
@@ -26,7 +29,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
         out = joined.where("m > n").select(F.col("m").alias("a"), F.col("lo").alias("b"))
     else:
         out = joined.select(F.col("m").alias("a"), F.col("lo").alias("b")).union(least.select(F.col("n").alias("a"), F.col("lo").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -41,7 +44,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        nxt = materialise(_star(_star(cur, True), False), "cc")
+        nxt = _star(_star(cur, True), False).distinct()
+        if seen[0] < SMALL:  # few edges: few files
+            nxt = nxt.coalesce(8)
+        nxt = materialise(nxt, "cc")
         now = nxt.agg(F.count("*"), count).first()
         drop(cur)
         cur = nxt
