@@ -40,7 +40,7 @@ from recordloom.operators.components import connected_components
 from recordloom.state.shared import materialise
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUP_MOST = 4000
+GROUP_MOST = 2000
 MU = 0.0085  # DivideSkip's weight of merging against probing
 
 
@@ -144,16 +144,21 @@ class Lists:
         self.end = np.append(self.start[1:], len(h))
         self.root = np.arange(len(sets))
 
-    def of(self, s: np.ndarray, most: int) -> list[np.ndarray]:
-        """The lists of a set's shingles, up to document ``most``; empty ones are left out."""
+    def of(self, s: np.ndarray, most: int) -> np.ndarray:
+        """The numbers of the lists of a set's shingles that begin before document ``most``."""
         at = np.searchsorted(self.key, s)
         at = at[(at < len(self.key)) & (self.key[np.minimum(at, len(self.key) - 1)] == s)]
-        out = []
-        for a, z in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True):
-            if self.docs[a] < most:
-                z = a + int(np.searchsorted(self.docs[a:z], most)) if self.docs[z - 1] >= most else z
-                out.append(self.docs[a:z])
-        return out
+        return at[self.docs[self.start[at]] < most]
+
+    def cut(self, at: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of some lists for which ``free`` holds, list by list, and where each list that has any begins."""
+        size = self.end[at] - self.start[at]
+        before = np.cumsum(size) - size
+        docs = self.docs[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
+        keep = docs < len(free)
+        keep[keep] = free[docs[keep]]
+        which = np.repeat(np.arange(len(at)), size)[keep]
+        return docs[keep], np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
 
     def common(self, s: np.ndarray, d: int) -> int:
         t = self.sets[d]
@@ -216,21 +221,25 @@ def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) ->
 
     def take(d: int) -> None:
         out.append(d)
-        r = int(lists.root[d])
-        mine.add(r)
+        mine.add(int(lists.root[d]))
 
     # an owner of the rarest shingle is the likeliest partner: one check connects a near copy with all others
-    rarest = min(found, key=len)
-    for d in dict.fromkeys((int(rarest[-1]), int(rarest[0]))):
+    rarest = found[np.argmin(lists.end[found] - lists.start[found])]
+    owners = lists.docs[lists.start[rarest] : lists.end[rarest]]
+    owners = owners[: int(np.searchsorted(owners, most))]
+    for d in dict.fromkeys((int(owners[-1]), int(owners[0]))):
         if int(lists.root[d]) not in mine and linked(lists.common(s, d), n, int(lists.size[d])):
             take(d)
+    low = int(np.searchsorted(lists.size[:most], t))
     while True:
-        low = np.searchsorted(lists.size[:most], -(-NUMERATOR * n // DENOMINATOR))
         free = ~np.isin(lists.root[:most], list(mine))
         free[:low] = False
         if not free.any():
             break
-        rest = [x.tolist() for x in (y[free[y]] for y in found) if len(x)]
+        docs, begin = lists.cut(found, free)
+        if len(begin) < t:
+            break
+        rest = [x.tolist() for x in np.split(docs, begin[1:])]
         for d, common in divide_skip(rest, t):
             if linked(common, n, int(lists.size[d])):
                 take(d)
@@ -245,20 +254,24 @@ def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) ->
 def _search(batches):
     """Rows come sorted by group, band, block and role: 0 is in the index, 1 a query, 2 both."""
     group, index, names, lists = None, [], [], None
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, bool]] = []
 
     def close():
-        """Search a whole group against itself."""
-        if index and lists is None and len(index) > 1:
+        """Search a whole group against itself; its components are final."""
+        if len(index) > 1:
             order = sorted(range(len(index)), key=lambda i: (len(index[i]), names[i]))
             own = Lists([index[i] for i in order])
             for i in range(1, len(order)):
-                out.extend((names[order[i]], names[order[d]]) for d in partners(own, own.sets[i], i, i))
+                partners(own, own.sets[i], i, i)
+            least: dict[int, int] = {}
+            for i, r in enumerate(own.root.tolist()):
+                least[r] = min(least.get(r, names[order[i]]), names[order[i]])
+            out.extend((names[order[i]], least[r], True) for i, r in enumerate(own.root.tolist()) if least[r] != names[order[i]])
 
     def batch():
         got = out[:]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.bool_())], ["a", "b", "final"])
 
     whole = False
     for b in batches:
@@ -285,7 +298,7 @@ def _search(batches):
             while most < len(names) and lists.size[most] == len(s) and names[most] < c:
                 most += 1
             hits = partners(lists, s, most)
-            out.extend((c, names[d]) for d in hits)
+            out.extend((c, names[d], False) for d in hits)
             roots = sorted({int(lists.root[d]) for d in hits})
             if len(roots) > 1:
                 lists.root[np.isin(lists.root, roots)] = roots[0]
@@ -298,7 +311,7 @@ def _search(batches):
 
 
 def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
-    """``(a, b)``: a spanning forest of the links between classes."""
+    """``(a, b, final)``: a spanning forest of the links between classes; final ones lead from a class to the least of its component."""
     spark = df.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = materialise(candidate_groups(docs), "groups")
@@ -315,14 +328,18 @@ def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataF
     asked = large.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).join(blocks, ["g", "band"])
     asked = asked.select("g", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "c", "id")
     rows = small.union(held).union(asked).join(df, "id").repartition(parts, "g", "band", "block").sortWithinPartitions("g", "band", "block", "role", "c")
-    return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(_search, "a bigint, b bigint")
+    return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(_search, "a bigint, b bigint, final boolean")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row; the component is the least id that links reach."""
     src = texts(df, id_col, text_col)
     docs = classes(src)
-    comp = connected_components(links(src, docs, group_most)).select(F.col("node").alias("c"), "component")
+    found = materialise(links(src, docs, group_most), "forest")
+    comp = found.where("final").select(F.col("a").alias("c"), F.col("b").alias("component"))
+    loose = found.where("NOT final")
+    if not loose.isEmpty():  # groups dealt over several tasks
+        comp = comp.unionByName(connected_components(loose).select(F.col("node").alias("c"), "component"))
     rows = docs.where("n > 0").select("id", "n", "c").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = rows.groupBy("component").agg(F.min("id").alias("component_id"))
     full = rows.join(least, "component").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
