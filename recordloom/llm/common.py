@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text)`` of a table; all other columns go, so their names can't clash.  A null text is empty."""
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+#: Rows and bytes of an Arrow batch: texts may be long, and a worker holds a few batches at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def arrow_rows(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow``; ``each`` is made on the driver and must hold only what is small."""
-    return df.mapInArrow(each, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, unless someone has set their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, type=kind)
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, text)`` of a table; all other columns go, so their names can't clash.  A null text is empty."""
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def tokenizer_path(name: str) -> str:

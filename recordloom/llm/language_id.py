@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import texts
+from recordloom.llm.common import small_batches, texts
 
 WINDOW, WIDTHS, FILTERS, DIM, CLASSES = 128, (2, 3, 4), 8, 8, 64
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 16
@@ -181,6 +181,7 @@ def _probabilities(net: Net, tables: tuple[np.ndarray, ...], data: list[bytes])
 
 def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, *keep, lang_pred, score)`` of every whole text."""
+    small_batches(docs.sparkSession)
     src = texts(docs, id_col, text_col) if not keep else docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
 
     def each(batches):

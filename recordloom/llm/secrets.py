@@ -2,7 +2,7 @@
 
 Base spans come from three patterns (assignments, access keys, long hex runs).  The method adds tokens that look
 random: character Markov models of random strings and of ordinary identifiers, both as transition counts over 80
-characters, are compared by log-likelihood ratio; a token counts as a secret if the ratio outweighs the prior odds.
+characters, interpolated with the counts of single characters, are compared by log-likelihood ratio; a token counts as a secret if the ratio outweighs the prior odds.
 The labels are what the base patterns find (random) and other words of at least eight characters (ordinary), in a
 sample of at most ``sample_docs`` documents chosen by a hash of their ids.
 
@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 LOW, SPAN = 43, 80  # first character code and number of codes of the models
-SAMPLE_DOCS, PRIOR_ODDS, SMOOTH = 4_000, 1000.0, 0.5
+SAMPLE_DOCS, PRIOR_ODDS, SMOOTH, WEIGHT = 4_000, 1000.0, 0.5, 10.0
 
 
 def _quote(pattern: str) -> str:
@@ -94,22 +94,23 @@ def training_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     thin = docs if total <= sample_docs else docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.floor(1_000_003 * sample_docs / total))
     base = _fixed(_fixed(thin, text=F.col("text"), long=long_token()), text=F.col("text"), b=base_spans())
     random = base.where("size(b) > 0").select(F.lit("random").alias("label"), F.explode("b.value").alias("value"))
-    # words that no base span of the text contains
-    ordinary = base.select(F.expr(r"filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{7,}', 0), w -> NOT exists(b, s -> contains(s.value, w)))").alias("w"))
+    # words that no base span of the text contains, with two digits at most
+    ordinary = base.select(F.expr(r"filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{7,}', 0), w -> length(translate(w, '0123456789', '')) >= length(w) - 2 AND NOT exists(b, s -> contains(s.value, w)))").alias("w"))
     return random.where(r"value rlike '^[A-Za-z0-9+/_=.-]{2,}$'").unionByName(ordinary.select(F.lit("ordinary").alias("label"), F.explode("w").alias("value")))
 
 
 def log_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, smooth: float = SMOOTH) -> list[float]:
     """Of every pair of characters: log of its probability among random strings over that among ordinary ones."""
-    counts = {"random": [smooth] * (SPAN * SPAN), "ordinary": [smooth] * (SPAN * SPAN)}
+    counts = {"random": [0.0] * (SPAN * SPAN), "ordinary": [0.0] * (SPAN * SPAN)}
     for r in transitions(training_values(docs, sample_docs)).collect():  # at most two rows for each pair of characters
         counts[r["label"]][r["pair"]] += r["n"]
-    out = []
-    for a in range(SPAN):
-        row = {k: v[a * SPAN : (a + 1) * SPAN] for k, v in counts.items()}
-        whole = {k: sum(v) for k, v in row.items()}
-        out += [math.log(x / whole["random"]) - math.log(y / whole["ordinary"]) for x, y in zip(row["random"], row["ordinary"], strict=True)]
-    return out
+    logs = {}
+    for label, n in counts.items():
+        single = [sum(n[b::SPAN]) + smooth for b in range(SPAN)]
+        single = [x / sum(single) for x in single]
+        rows = [sum(n[a * SPAN : (a + 1) * SPAN]) for a in range(SPAN)]
+        logs[label] = [math.log((n[a * SPAN + b] + WEIGHT * single[b]) / (rows[a] + WEIGHT)) for a in range(SPAN) for b in range(SPAN)]
+    return [x - y for x, y in zip(logs["random"], logs["ordinary"], strict=True)]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, prior_odds: float = PRIOR_ODDS, keep: tuple[str, ...] = ()) -> DataFrame:
