@@ -111,8 +111,10 @@ def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.array(keep, np.int64)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, Quantiser]:
-    """A quantiser for each vector length in a sample of ``(id, v)``."""
+def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> dict[int, Quantiser]:
+    """A quantiser for each vector length in a sample of the ``n`` rows of ``(id, v)``."""
+    if n > 2 * sample:
+        vectors = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.ceil(1_000_003 * 1.5 * sample / n))
     got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].to_pylist()
     rows, _ = _unit(got)
     by: dict[int, list] = {}
@@ -247,7 +249,7 @@ def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thr
     src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     n = src.count()
     usable = src.where("id is not null and v is not null").dropDuplicates(["id"])
-    quantisers = fit(usable, sample)
+    quantisers = fit(usable, n, sample)
     wide_type = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     keyed = _keyed(usable, quantisers, n, wide_type)
     wide = keyed.where("role = 0").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -41,6 +41,7 @@ from recordloom.state.shared import materialise
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUP_MOST = 2000
+HEAP_MOST = 2000
 MU = 0.0085  # DivideSkip's weight of merging against probing
 
 
@@ -89,7 +90,7 @@ def linked(common: int, a: int, b: int) -> bool:
 
 
 def _signatures(df: DataFrame, salt: int) -> DataFrame:
-    """``(id, n, c, c2, prefix)`` of each text: size of its set, two hashes of the set, and its first shingles."""
+    """``(id, k, n, c, c2, prefix)`` of each text: a hash of it, size of its set, two hashes of the set, and its first shingles."""
 
     def each(batches):
         for b in batches:
@@ -99,11 +100,11 @@ def _signatures(df: DataFrame, salt: int) -> DataFrame:
             first = [s[: prefix(len(s))].astype(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(one, np.uint64).astype(np.int64)), pa.array(np.array(two, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *first])))],
-                ["id", "n", "c", "c2", "prefix"],
+                [b.column("id"), b.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(one, np.uint64).astype(np.int64)), pa.array(np.array(two, np.uint64).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *first])))],
+                ["id", "k", "n", "c", "c2", "prefix"],
             )
 
-    return df.mapInArrow(each, f"id {df.schema['id'].dataType.simpleString()}, n bigint, c bigint, c2 bigint, prefix array<bigint>")
+    return df.mapInArrow(each, f"id {df.schema['id'].dataType.simpleString()}, k bigint, n bigint, c bigint, c2 bigint, prefix array<bigint>")
 
 
 def classes(df: DataFrame) -> DataFrame:
@@ -207,10 +208,39 @@ def divide_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     return out
 
 
+def occurrences(docs: np.ndarray, begin: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """:func:`divide_skip` over lists that lie behind each other in ``docs``.
+
+    Lists with more than ``HEAP_MOST`` entries to merge are merged as arrays, and the long ones probed by one
+    search over all of them, or counted where that touches fewer entries.
+    """
+    size = np.diff(np.append(begin, len(docs)))
+    order = np.argsort(size, kind="stable")
+    aside = min(t - 1, int(t / (MU * math.log(max(2, int(size.max()))) + 1)))
+    short = np.zeros(len(size), bool)
+    short[order[: len(size) - aside]] = True
+    if size[short].sum() <= HEAP_MOST:
+        return divide_skip([x.tolist() for x in np.split(docs, begin[1:])], t)
+    of = np.repeat(short, size)
+    count = np.bincount(docs[of])
+    found = np.flatnonzero(count >= t - aside)
+    rest, lists = docs[~of], size[~short]
+    if len(found) * len(lists) < len(rest):
+        span = int(docs.max()) + 1
+        keys = rest + np.repeat(np.arange(len(lists)) * span, lists)
+        probe = (np.arange(len(lists)) * span)[:, None] + found[None]
+        at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+        more = (keys[at] == probe).sum(0)
+    else:
+        more = np.bincount(rest, minlength=len(count))[found] if len(found) else 0
+    total = count[found] + more
+    return [(int(d), int(n)) for d, n in zip(found, total, strict=True) if n >= t]
+
+
 def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) -> list[int]:
     """Documents before ``most`` that connect a query with every component of the index that it links with.
 
-    own: the query's number, if it is in the index; components are then merged in ``lists.root``.
+    own: the query's number, if it is in the index.  The components met are merged in ``lists.root``.
     """
     n, t = len(s), least_overlap(len(s))
     found = lists.of(s, most)
@@ -220,8 +250,10 @@ def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) ->
     mine: set[int] = set()
 
     def take(d: int) -> None:
-        out.append(d)
-        mine.add(int(lists.root[d]))
+        r = int(lists.root[d])
+        if r not in mine:
+            out.append(d)
+            mine.add(r)
 
     # an owner of the rarest shingle is the likeliest partner: one check connects a near copy with all others
     rarest = found[np.argmin(lists.end[found] - lists.start[found])]
@@ -230,24 +262,18 @@ def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) ->
     for d in dict.fromkeys((int(owners[-1]), int(owners[0]))):
         if int(lists.root[d]) not in mine and linked(lists.common(s, d), n, int(lists.size[d])):
             take(d)
-    low = int(np.searchsorted(lists.size[:most], t))
-    while True:
-        free = ~np.isin(lists.root[:most], list(mine))
-        free[:low] = False
-        if not free.any():
-            break
+    free = ~np.isin(lists.root[:most], list(mine))
+    free[: int(np.searchsorted(lists.size[:most], t))] = False
+    if free.any():
         docs, begin = lists.cut(found, free)
-        if len(begin) < t:
-            break
-        rest = [x.tolist() for x in np.split(docs, begin[1:])]
-        for d, common in divide_skip(rest, t):
-            if linked(common, n, int(lists.size[d])):
-                take(d)
-                break
-        else:
-            break
-    if own is not None and mine:
-        lists.root[np.isin(lists.root, [*mine, own])] = min(min(mine), own)
+        if len(begin) >= t:
+            for d, common in occurrences(docs, begin, t):
+                if linked(common, n, int(lists.size[d])):
+                    take(d)
+    if own is not None:
+        mine.add(int(lists.root[own]))
+    if len(mine) > 1:
+        lists.root[np.isin(lists.root, list(mine))] = min(mine)
     return out
 
 
@@ -256,31 +282,32 @@ def _search(batches):
     group, index, names, lists = None, [], [], None
     out: list[tuple[int, int, bool]] = []
 
-    def close():
-        """Search a whole group against itself; its components are final."""
-        if len(index) > 1:
-            order = sorted(range(len(index)), key=lambda i: (len(index[i]), names[i]))
-            own = Lists([index[i] for i in order])
-            for i in range(1, len(order)):
-                partners(own, own.sets[i], i, i)
-            least: dict[int, int] = {}
-            for i, r in enumerate(own.root.tolist()):
-                least[r] = min(least.get(r, names[order[i]]), names[order[i]])
-            out.extend((names[order[i]], least[r], True) for i, r in enumerate(own.root.tolist()) if least[r] != names[order[i]])
+    def own_links(final: bool) -> Lists:
+        """Search what is held against itself; of a whole group the components are final."""
+        order = sorted(range(len(index)), key=lambda i: (len(index[i]), names[i]))
+        index[:], names[:] = [index[i] for i in order], [names[i] for i in order]
+        made = Lists(index)
+        for i in range(1, len(index)):
+            partners(made, index[i], i, i)
+        least: dict[int, int] = {}
+        for c, r in zip(names, made.root.tolist(), strict=True):
+            least[r] = min(least.get(r, c), c)
+        out.extend((c, least[r], final) for c, r in zip(names, made.root.tolist(), strict=True) if least[r] != c)
+        return made
 
     def batch():
         got = out[:]
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.bool_())], ["a", "b", "final"])
 
-    whole = False
+    whole, held = False, set()
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("g", "band", "block", "role", "c")]
         sets = [s for _, data in chunks(x.encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()) for s in shingle_sets(data)]
         for g, band, block, role, c, s in zip(*cols, sets, strict=True):
             if (g, band, block) != group:
-                if whole:
-                    close()
+                if len(names) > 1 and lists is None:
+                    own_links(whole)
                 group, index, names, lists, whole = (g, band, block), [], [], None, role == 2
             if role != 1:
                 if not names or c != names[-1]:
@@ -290,22 +317,19 @@ def _search(batches):
             if not index:
                 continue
             if lists is None:
-                order = sorted(range(len(index)), key=lambda i: (len(index[i]), names[i]))
-                index, names = [index[i] for i in order], [names[i] for i in order]
-                lists = Lists(index)
+                lists = own_links(False)
+                held = set(names)
+            if c in held:
+                continue
             # smaller sets, and of equal ones those with a smaller name
             most = int(np.searchsorted(lists.size, len(s)))
             while most < len(names) and lists.size[most] == len(s) and names[most] < c:
                 most += 1
-            hits = partners(lists, s, most)
-            out.extend((c, names[d], False) for d in hits)
-            roots = sorted({int(lists.root[d]) for d in hits})
-            if len(roots) > 1:
-                lists.root[np.isin(lists.root, roots)] = roots[0]
+            out.extend((c, names[d], False) for d in partners(lists, s, most))
         if len(out) >= 10_000:
             yield batch()
-    if whole:
-        close()
+    if len(names) > 1 and lists is None:
+        own_links(whole)
     if out:
         yield batch()
 
@@ -315,25 +339,27 @@ def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataF
     spark = df.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = materialise(candidate_groups(docs), "groups")
-    heads = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    heads = docs.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "k")).alias("h"), F.min("n").alias("n")).select("c", F.col("h.id").alias("head"), F.col("h.k").alias("head_k"), "n")
     members = groups.join(heads, "c")
     size = groups.groupBy("g").agg(F.count("*").alias("m"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
     members = members.join(size, "g").withColumn("band", F.when(F.col("m") > group_most, band).otherwise(-1))
     # blocks of the bands of large groups only
     blocks = members.where("band >= 0").groupBy("g", "band").agg(F.ceil(F.count("*") / group_most).cast("int").alias("blocks"))
-    small = members.where("band < 0").select("g", "band", F.lit(0).alias("block"), F.lit(2).alias("role"), "c", "id")
-    large = members.where("band >= 0").select("g", "band", "c", "id")
-    held = large.join(blocks, ["g", "band"]).select("g", "band", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "c", "id")
+    small = members.where("band < 0").select("g", "band", F.lit(0).alias("block"), F.lit(2).alias("role"), "c", "head", "head_k")
+    large = members.where("band >= 0").select("g", "band", "c", "head", "head_k")
+    held = large.join(blocks, ["g", "band"]).select("g", "band", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "c", "head", "head_k")
     asked = large.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).join(blocks, ["g", "band"])
-    asked = asked.select("g", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "c", "id")
-    rows = small.union(held).union(asked).join(df, "id").repartition(parts, "g", "band", "block").sortWithinPartitions("g", "band", "block", "role", "c")
+    asked = asked.select("g", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "c", "head", "head_k")
+    members = small.union(held).union(asked)
+    # one text of each class: an id may be null, or stand for several texts
+    rows = members.join(df, (members["head_k"] == df["k"]) & members["head"].eqNullSafe(df["id"])).repartition(parts, "g", "band", "block").sortWithinPartitions("g", "band", "block", "role", "c")
     return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(_search, "a bigint, b bigint, final boolean")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row; the component is the least id that links reach."""
-    src = texts(df, id_col, text_col)
+    src = texts(df, id_col, text_col).withColumn("k", F.xxhash64("text"))
     docs = classes(src)
     found = materialise(links(src, docs, group_most), "forest")
     comp = found.where("final").select(F.col("a").alias("c"), F.col("b").alias("component"))
