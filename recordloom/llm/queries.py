@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import bpe_tree, itq, jaccard_join, language_id, matroska, packing, secrets, substring_dedup, token_counts, url_filter
 
+from recordloom.llm.oracle import ORACLE  # noqa: F401
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -58,5 +60,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op5_substring_dedup, op6_bpe_tree, op7_url_filter, op8_jaccard_join, op9_itq, op10_secrets, pipeline)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_matroska, op3_token_counts, op4_packing, op5_substring_dedup, op6_bpe_tree, op7_url_filter, op8_jaccard_join, op9_itq, op10_secrets, pipeline)}
\ No newline at end of file
