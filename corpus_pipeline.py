@@ -23,17 +23,23 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; rows of one id count as one."""
-    groups = jaccard_join.components(docs)
-    stay = groups.where("id = component_id OR id IS NULL").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
+    """Of each group of near-duplicates one row stays: that of the least id (null last), of one id that of the least text hash.
+
+    Rows of one id and one text count as one; of their other columns the least stay.
+    """
+    own = {"h": F.xxhash64("doc_id", F.col("doc_id").isNull()), "k": F.xxhash64(F.coalesce("text", F.lit("")))}
+    stay = jaccard_join.firsts(docs).select(F.col("id").alias("doc_id"), "k").withColumn("h", own["h"]).select("h", "k").distinct()
+    rows = docs.select(*COLUMNS).withColumns(own).join(stay, ["h", "k"], "left_semi")
+    # hashes deal the rows, but only rows of equal ids and texts are one
+    one = rows.groupBy("h", "k", "doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("of"))
+    return one.select("doc_id", "text", "of.lang", "of.source", "of.n_chars")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur more than once are cut; a document of which nothing is left goes."""
-    left = substring_dedup.dedup(docs).where("text <> '' OR n_removed = 0").select(F.col("id").alias("doc_id"), F.col("text").alias("left"), "n_removed")
-    out = docs.select(*COLUMNS).join(left, "doc_id")
-    return out.select("doc_id", F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("left").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+    marked = docs.select(*COLUMNS, F.col("text").isNotNull().alias("given"))
+    out = substring_dedup.dedup(marked, keep=("lang", "source", "n_chars", "given")).where("text <> '' OR n_removed = 0")
+    return out.select(F.col("id").alias("doc_id"), F.when(F.col("given"), F.col("text")).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -357,16 +357,28 @@ def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataF
     return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(_search, "a bigint, b bigint, final boolean")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
-    """``(id, n_shingles, component_id)`` of every row; the component is the least id that links reach."""
-    src = texts(df, id_col, text_col).withColumn("k", F.xxhash64("text"))
+def _members(df: DataFrame, group_most: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows of ``(id, text)``, and ``(id, k, n, component)`` of those with shingles; k is the text's hash."""
+    src = df.withColumn("k", F.xxhash64("text"))
     docs = classes(src)
     found = materialise(links(src, docs, group_most), "forest")
     comp = found.where("final").select(F.col("a").alias("c"), F.col("b").alias("component"))
     loose = found.where("NOT final")
     if not loose.isEmpty():  # groups dealt over several tasks
         comp = comp.unionByName(connected_components(loose).select(F.col("node").alias("c"), "component"))
-    rows = docs.where("n > 0").select("id", "n", "c").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    return docs, docs.where("n > 0").select("id", "k", "n", "c").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+    """``(id, n_shingles, component_id)`` of every row; the component is the least id that links reach."""
+    docs, rows = _members(texts(df, id_col, text_col), group_most)
     least = rows.groupBy("component").agg(F.min("id").alias("component_id"))
     full = rows.join(least, "component").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return full.unionByName(docs.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
+    """``(id, k)`` of the first row of each component: least id, null last, then least hash ``k`` of the text; a row without words is its own."""
+    docs, rows = _members(texts(df, id_col, text_col), group_most)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "k")).alias("of")).select("of.id", "of.k")
+    return first.unionByName(docs.where("n = 0").select("id", "k"))

@@ -45,9 +45,10 @@ def _encode(col: pa.Array) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") for x in col.to_pylist()]
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, k, t)``: two hashes tell rows apart."""
-    return texts(df, id_col, text_col).withColumns({"k": F.xxhash64("id", "text"), "t": F.xxhash64("text", "id", F.lit(1))})
+def _keyed(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, text, k, t)`` and the kept columns as ``keep_*``: two hashes tell rows apart."""
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    return texts(own, "id", "text", keep=tuple(f"keep_{c}" for c in keep)).withColumns({"k": F.xxhash64("id", "text"), "t": F.xxhash64("text", "id", F.lit(1))})
 
 
 def _chosen(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,13 +243,14 @@ def _kept(data: bytes, spans) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(left), b" ".join(left)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, digest: bool = False) -> DataFrame:
-    """``(id, n_words, n_removed, text)`` of every row; the text as it was if nothing went, else the kept words joined by blanks.
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, n_words, n_removed, text)`` of every row; the text as it was if nothing went, else the kept words joined by blanks.
 
     digest: ``kept_sha256`` of the kept words instead of the text.
     """
-    keyed = _keyed(df, id_col, text_col)
-    joined = keyed.join(repeated_spans(keyed, hot), ["k", "t"], "left").select("id", "text", "spans")
+    keyed = _keyed(df, id_col, text_col, keep)
+    # rows of one id and one text share their spans, which hold for each of them
+    joined = keyed.join(repeated_spans(keyed.select("id", "text", "k", "t"), hot), ["k", "t"], "left").select("id", "text", "spans", *(f"keep_{c}" for c in keep))
     last = "kept_sha256" if digest else "text"
 
     def each(batches):
@@ -258,6 +260,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
                 n, gone, left = _kept(text.encode("utf-8", "surrogatepass"), spans)
                 out.append((n, gone, hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "surrogatepass") if gone else text))
             cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.string())], ["id", "n_words", "n_removed", last])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(f"keep_{c}") for c in keep), pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.string())], ["id", *keep, "n_words", "n_removed", last])
 
-    return joined.mapInArrow(each, f"id {keyed.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, {last} string")
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return joined.mapInArrow(each, f"id {keyed.schema['id'].dataType.simpleString()}{kept}, n_words bigint, n_removed bigint, {last} string")

@@ -41,6 +41,30 @@ def test_odd_input(spark):
     assert out.count() > 0
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (prose(rng, 150) for _ in range(6))
+    shared = prose(rng, 50)
+    p, q = f"{prose(rng, 90)} {shared}", f"{prose(rng, 90)} {shared}"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(None, a), (None, b), (None, b), (None, b + " tail"), (7, c), (7, d), (7, d), (9, d + " tail"), (3, e), (None, e), (7, e), (5, f), (None, p), (7, q), (8, "12 34"), (8, None)]
+    made = spark.createDataFrame([(i, t, "x", "s", len(t or "")) for i, t in rows], schema)
+    out = corpus_pipeline.identified(spark, made, "")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, rows[:-2]))
+    out = corpus_pipeline.distinct_documents(spark, out, "").cache()
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    b_row = [x for x in got if x[1] in (b, b + " tail")]
+    assert len(b_row) == 1 and b_row[0][0] is None
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, a), b_row[0], (7, c), (7, d), (3, e), (5, f), (None, p), (7, q)]))
+    out = corpus_pipeline.without_repeats(spark, out, "").cache()
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [(None, a), b_row[0], (7, c), (7, d), (3, e), (5, f), (None, p.removesuffix(" " + shared)), (7, q.removesuffix(" " + shared))]))
+    out = corpus_pipeline.without_secrets(spark, out, "").cache()
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, left))
+    packed = corpus_pipeline.packed(spark, out, "").collect()
+    assert sum(r["start"] == 0 for r in packed) == len(left)
+
+
 def test_empty_table(spark):
     out = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
