@@ -16,9 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any language go (null, or without a letter); a null label becomes the prediction."""
+    """Texts without any language go (null, or without a letter); a null label becomes the prediction.
+
+    Nothing goes by the prediction itself.  With nothing to learn from, texts with letters stay and null labels stay null.
+    """
     net = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs.select(*COLUMNS), net, keep=COLUMNS).where("lang_pred <> 'und'")
+    found = language_id.predict(docs.select(*COLUMNS), net, keep=COLUMNS, unlearned=None).where("lang_pred IS NULL OR score > 0")
     return found.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 

@@ -179,8 +179,8 @@ def _probabilities(net: Net, tables: tuple[np.ndarray, ...], data: list[bytes])
     return np.add.reduceat(p * weight[:, None], starts) / sizes[:, None]
 
 
-def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, *keep, lang_pred, score)`` of every whole text."""
+def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unlearned: str | None = "und") -> DataFrame:
+    """``(id, *keep, lang_pred, score)`` of every whole text; ``unlearned`` for those with a letter if there is no net."""
     small_batches(docs.sparkSession)
     src = texts(docs, id_col, text_col) if not keep else docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
 
@@ -195,7 +195,10 @@ def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
             held = 0
             col = b.column("text").to_pylist()
             for i, text in enumerate(col):
-                if net is not None and any(map(str.isalpha, text)):
+                lettered = any(map(str.isalpha, text))
+                if net is None and lettered:
+                    langs[i] = unlearned
+                elif lettered:
                     wait.append((i, text.encode("utf-8", "surrogatepass")))
                     held += len(wait[-1][1])
                 if wait and (held > 1 << 20 or i + 1 == len(col)):

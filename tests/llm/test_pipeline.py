@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from recordloom.llm import queries
 from test_corpus_ops import corpus, prose
@@ -65,6 +67,13 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert sum(r["start"] == 0 for r in packed) == len(left)
 
 
+def test_language_id_without_labels_keeps_texts_with_letters(spark):
+    texts = ["the thing", None, "12 34", "", "żółć", "x1"]
+    out = corpus_pipeline.identified(spark, docs(spark, texts).withColumn("lang", F.lit(None).cast("string")), "")
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in out.collect()} == {(i, texts[i], None) for i in (0, 4, 5)}
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
 def test_empty_table(spark):
     out = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
