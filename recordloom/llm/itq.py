@@ -2,9 +2,11 @@
 
 :func:`fit` learns a PCA projection and a rotation that makes its sign bits balanced, from at most ``sample``
 vectors (by a hash of their ids).  Every vector gets a code of up to 64 bits.  The code is cut into tables of ``s``
-bits; two vectors meet in a table where their parts differ in at most ``r`` bits.  ``r`` is the least that finds a
-pair at the threshold with probability 0.9 or more by the binomial model of ITQ bits (nearer pairs are found more
-surely), and ``s`` the cheapest for the number of vectors: more bits mean smaller buckets and more probes.
+bits; two vectors meet in a table where their parts differ in at most ``r`` bits.  ``r`` is the least that finds 0.9
+or more of pairs at the threshold, and ``s`` the cheapest for the number of vectors: more bits mean smaller buckets and
+more probes.  How many pairs are found is measured on codes, so it holds whatever the mean takes from the vectors:
+:func:`trials` makes partners at the threshold for vectors of the sample and takes its own near pairs (nearer pairs are
+found more surely).  Where tables would hold all pairs anyway, and for lengths that the sample lacks, all are compared.
 Met pairs are reranked by the cosine of the original vectors in double precision; a pair counts in the first table
 where it meets.
 
@@ -39,6 +41,7 @@ class Quantiser:
 
     mean: np.ndarray
     turn: np.ndarray
+    plan: tuple[int, int, int] = (0, 1, 0)
 
     @property
     def bits(self) -> int:
@@ -69,22 +72,54 @@ def learn(unit: np.ndarray, rounds: int = 30, seed: int = 3) -> Quantiser:
 ROW_S, PAIR_S = 2e-6, 5e-9
 
 
-def tables(n: int, bits: int, threshold: float = THRESHOLD, found: float = FOUND) -> tuple[int, int, int]:
-    """Bits of a table, number of tables and radius for ``n`` vectors: the cheapest that find enough."""
-    p = math.acos(threshold) / math.pi
+#: Pairs of a kind that recall is measured on, and how many real ones are enough to count.
+TRIALS, REAL = 4096, 200
+
+
+def trials(unit: np.ndarray, q: Quantiser, threshold: float = THRESHOLD, seed: int = 5) -> list[np.ndarray]:
+    """Bits that differ in the codes of pairs at the threshold, by kind: a step any way, a step toward another vector, real pairs."""
+    rng = np.random.default_rng(seed)
+    x = unit[np.arange(TRIALS) % len(unit)]
+    toward = unit[rng.integers(0, len(unit), TRIALS)]
+    out = []
+    for step in (rng.normal(size=x.shape), toward):
+        step = step - (step * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(step, axis=1)
+        ok = size > 1e-6
+        if ok.any():
+            y = threshold * x[ok] + math.sqrt(1 - threshold**2) * step[ok] / size[ok, None]
+            out.append(q.codes(x[ok]) ^ q.codes(y))
+    code = q.codes(unit)
+    real = []
+    for i in range(0, min(TRIALS, len(unit)), 256):
+        near = unit[i : i + 256] @ unit.T
+        a, b = np.nonzero((near >= threshold) & (near < threshold + 0.03))
+        real.append(code[i + a] ^ code[b])
+    real = np.concatenate(real)
+    if len(real) >= REAL:
+        out.append(real)
+    return out
+
+
+def tables(n: int, bits: int, pairs: list[np.ndarray], found: float = FOUND) -> tuple[int, int, int]:
+    """Bits of a table, number of tables and radius for ``n`` vectors: the cheapest that find enough of all kinds of pairs.
+
+    ``(0, 1, 0)``, one table of one bucket, where no tables leave out pairs.
+    """
     best = None
-    for s in range(min(8, bits), min(24, bits) + 1):
+    for s in range(1, min(24, bits) + 1):
         m = bits // s
-        near = 0.0
+        mask = np.uint64((1 << s) - 1)
+        least = [np.min([np.bitwise_count(x >> np.uint64(t * s) & mask) for t in range(m)], axis=0) for x in pairs]
         for r in range(s + 1):
-            near += math.comb(s, r) * p**r * (1 - p) ** (s - r)
-            if 1 - (1 - near) ** m >= found:
+            # two standard errors more than asked for
+            if all((x <= r).mean() >= min(1.0, found + 2 * math.sqrt(found * (1 - found) / len(x))) for x in least):
                 break
         probes = sum(math.comb(s, i) for i in range(r + 1))
         cost = n * m * probes * ROW_S + n * n * m * probes / 2**s * PAIR_S
-        if best is None or cost < best[0]:
+        if m * probes < 2**s and (best is None or cost < best[0]):
             best = cost, (s, m, r)
-    return best[1]
+    return best[1] if best and pairs else (0, 1, 0)
 
 
 def flips(s: int, r: int) -> np.ndarray:
@@ -111,7 +146,7 @@ def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.array(keep, np.int64)
 
 
-def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> dict[int, Quantiser]:
+def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, threshold: float = THRESHOLD) -> dict[int, Quantiser]:
     """A quantiser for each vector length in a sample of the ``n`` rows of ``(id, v)``."""
     if n > 2 * sample:
         vectors = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.ceil(1_000_003 * 1.5 * sample / n))
@@ -120,10 +155,15 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> dict[int, Quantiser
     by: dict[int, list] = {}
     for x in rows:
         by.setdefault(len(x), []).append(x)
-    return {d: learn(np.array(x)) for d, x in by.items()}
+    out = {}
+    for d, x in by.items():
+        x = np.array(x)
+        out[d] = q = learn(x)
+        q.plan = tables(n, q.bits, trials(x, q, threshold))
+    return out
 
 
-def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int, kind: str) -> DataFrame:
+def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], kind: str) -> DataFrame:
     """``(key, role, id, code, raw)``: role 0 for the bucket a vector lies in, 1 for others that its queries look into."""
 
     def each(batches):
@@ -135,9 +175,9 @@ def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int, kind: s
                 by.setdefault(len(x), []).append(i)
             for d, at in by.items():
                 q = quantisers.get(d)
-                if q is None:  # a length the sample lacks: signs of the components, the same for all vectors
+                if q is None:  # a length the sample lacks: few vectors, of which all pairs are compared
                     q = Quantiser(np.zeros(d), np.eye(d)[:, : min(64, d)])
-                s, m, r = tables(n, q.bits)
+                s, m, r = q.plan
                 x = np.array([rows[i] for i in at])
                 code = q.codes(x)
                 names = [ids[keep[i]] for i in at]
@@ -154,10 +194,10 @@ def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], n: int, kind: s
 class Bucket:
     """The vectors a task holds of one bucket, or of a block of it."""
 
-    def __init__(self, key: int, n: int, bits_of: dict[int, int], threshold: float):
+    def __init__(self, key: int, plans: dict[int, tuple[int, int, int]], threshold: float):
         d = key >> 38
         self.table = key >> 32 & 63
-        s, _, self.radius = tables(n, bits_of.get(d, min(64, d)))
+        s, _, self.radius = plans.get(d, (0, 1, 0))
         self.s, self.mask, self.threshold = s, np.uint64((1 << s) - 1), threshold
         self.ids: list = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -195,7 +235,7 @@ class Bucket:
                 self.label[self.label == other] = kinds[0]
 
 
-def _linker(bits_of: dict[int, int], n: int, threshold: float, kind: str):
+def _linker(plans: dict[int, tuple[int, int, int]], threshold: float, kind: str):
     """Per-task search: rows come sorted by key, block and role."""
 
     def each(batches):
@@ -225,7 +265,7 @@ def _linker(bits_of: dict[int, int], n: int, threshold: float, kind: str):
             for a, z in zip(cut, [*cut[1:], len(key)], strict=True):
                 if (key[a], block[a]) != group:
                     finish()
-                    group, bucket = (key[a], block[a]), Bucket(int(key[a]), n, bits_of, threshold)
+                    group, bucket = (key[a], block[a]), Bucket(int(key[a]), plans, threshold)
                 x = np.frombuffer(b"".join(raw[a:z]), kind).astype(np.float64).reshape(z - a, -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if role[a] == 0:
@@ -249,17 +289,17 @@ def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", thr
     src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     n = src.count()
     usable = src.where("id is not null and v is not null").dropDuplicates(["id"])
-    quantisers = fit(usable, n, sample)
+    quantisers = fit(usable, n, sample, threshold)
     wide_type = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
-    keyed = _keyed(usable, quantisers, n, wide_type)
+    keyed = _keyed(usable, quantisers, wide_type)
     wide = keyed.where("role = 0").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # a vector is held in one block of its bucket and asks all of them
     every = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('block', x, 'role', IF(role = 0 AND x = pmod(xxhash64(id), blocks), 0, 1)))"))
     dealt = keyed.join(wide, "key").select("key", "id", "code", "raw", every.alias("at")).select("key", "at.*", "id", "code", "raw")
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = src.schema["id"].dataType.simpleString()
-    bits = {d: q.bits for d, q in quantisers.items()}
-    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linker(bits, n, threshold, wide_type), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
+    plans = {d: q.plan for d, q in quantisers.items()}
+    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linker(plans, threshold, wide_type), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
     count = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
     comp = connected_components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
     out = src.select("id").join(count, "id", "left").join(comp, "id", "left")

@@ -148,6 +148,35 @@ def test_itq_links_equal_brute_force(spark):
         assert np.mean([got[i]["component_id"] == comp[i] for i in got]) > 0.97
 
 
+@pytest.mark.parametrize("size", [0.0, 0.7, 0.8, 0.9])
+def test_itq_tables_find_pairs_of_vectors_with_a_common_mean(size):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = np.eye(64)[0] * size
+    x = unit(common + np.sqrt(1 - size**2) * unit(rng.normal(size=(5000, 64)) * (np.arange(64) > 0)))
+    q = itq.learn(x[:3000])
+    for n in (50_000, 1_000_000):
+        s, m, r = itq.tables(n, q.bits, itq.trials(x[:3000], q))
+        # partners of vectors that were not learned from
+        step = unit(rng.normal(size=(2000, 64)))
+        step = unit(step - (step * x[3000:]).sum(1, keepdims=True) * x[3000:])
+        near = rng.uniform(0.9, 0.93, (2000, 1))
+        code, other = q.codes(x[3000:]), q.codes(near * x[3000:] + np.sqrt(1 - near**2) * step)
+        parts = [np.bitwise_count((code ^ other) >> np.uint64(t * s) & np.uint64((1 << s) - 1)) for t in range(m)]
+        assert np.mean(np.min(parts, axis=0) <= r) >= 0.9, (n, s, m, r)
+
+
+def test_itq_links_of_vectors_with_a_common_mean(spark):
+    rng = np.random.default_rng(9)
+    x = np.c_[np.full(400, 1.9), rng.normal(size=(400, 63)) * 1.4 / 63**0.5]
+    x = np.r_[x, x[:300] + rng.normal(size=(300, 64)) * 0.13]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum() - len(x)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = itq.links(df).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * want <= got <= want
+
+
 def test_url_rules_and_model(spark):
     rng = random.Random(8)
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7?x", "https://a.example.com/en/70", "ftp://example.com/en/6", "http://com/en/", "http://xcom/en/", "http://x.net/de", "http://x.net/de/1#f", "http://Ä.ORG/es/", "a://b://c/d?e"]
