@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,28 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: t
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live on after a task, and several stages' leftovers add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that trims the worker's memory every 64 batches and at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        for i, out in enumerate(each(batches), 1):
+            yield out
+            if not i % 64:
+                trim()
+        trim()
+
+    return run
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file; the package is installed wherever executors run, so its own path is asked for there."""
     if os.path.isabs(name):

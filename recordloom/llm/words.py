@@ -1,7 +1,8 @@
 """Words of many texts at once, as 64-bit numbers, and rolling hashes of word sequences.
 
 A word is a longest run of bytes other than blank and the controls 9 to 13, which is what ``bytes.split()`` gives.
-All of a batch's texts are hashed as one array, so the cost per text is small however short it is.
+A batch's texts are hashed together, so the cost per text is small however short it is.  A batch is half a megabyte of
+texts, or one longer text; per byte it takes about 10 bytes of memory, so a text of 100 MB takes one gigabyte.
 """
 
 from __future__ import annotations
@@ -18,18 +19,23 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes, or words, that are hashed at a time; longer stretches are taken in parts, with the same result.
+PART = 1 << 18
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+_UP, _DOWN = _powers_of(BASE, PART + 64), _powers_of(INVERSE, PART + 64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = _POWERS.get("up")
-    if held is None or len(held) < n:
-        size = 1 << max(16, int(n).bit_length())
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if n <= len(_UP):
+        return _UP[:n], _DOWN[:n]
+    return _powers_of(BASE, n), _powers_of(INVERSE, n)  # a word longer than a part
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,16 +73,25 @@ class Batch:
         starts = np.cumsum(sizes + 1) - sizes - 1
         first = np.searchsorted(begin, starts)
         count = np.diff(np.append(first, len(begin)))
-        return cls(_spans(raw.astype(np.uint64) + np.uint64(1), begin, end), first, count)
+        hashes, i = np.empty(len(begin), np.uint64), 0
+        while i < len(begin):
+            a = int(begin[i])
+            j = max(i + 1, int(np.searchsorted(end, a + PART, side="right")))
+            hashes[i:j] = _spans(raw[a : int(end[j - 1])].astype(np.uint64) + np.uint64(1), begin[i:j] - a, end[i:j] - a)
+            i = j
+        return cls(hashes, first, count)
 
     def runs(self, k: int, salt: int = 0) -> np.ndarray:
         """Hash of the ``k`` words from each word on; of no use where fewer are left in the text."""
         n = len(self.hashes) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        h = mix(self.hashes ^ np.uint64(salt)) if salt else self.hashes
-        at = np.arange(n)
-        return _spans(h, at, at + k)
+        out = np.empty(n, np.uint64)
+        for i in range(0, n, PART - k):
+            h = self.hashes[i : min(n, i + PART - k) + k - 1]
+            at = np.arange(len(h) - k + 1)
+            out[i : i + len(at)] = _spans(mix(h ^ np.uint64(salt)) if salt else h, at, at + k)
+        return out
 
 
 def window_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -95,7 +110,7 @@ def window_max(x: np.ndarray, size: int) -> np.ndarray:
     return ~window_min(~x, size)
 
 
-def chunks(data: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(data: Iterable[bytes], most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in lists of about ``most`` bytes, each with the number of its first text."""
     out: list[bytes] = []
     at = size = 0
