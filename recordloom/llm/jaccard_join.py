@@ -10,16 +10,21 @@ prefix shingles links with nothing.  Of the shared ones, the most frequent may b
 number; two linked classes still share one of the rest.  Classes that share one, directly or over others, form a
 candidate group (connected components); nothing outside a group can link with a class in it.
 
+A group of more than ``group_most`` classes is held together by passages that many documents share.  Its classes are
+grouped anew by all their shingles, of which the rarest ``n - T + 1`` decide; what remains larger is near copies.
+
 *Search.*  A task holds the inverted lists of a group and asks each class as a query: the longest lists are set
 aside, a heap merges the short ones and skips what can't reach the threshold, and candidates are probed in the long
-lists by binary search.  Candidates that are already connected with the query are skipped, so a group of near copies
+lists by binary search, however long the lists are; equal lists are one with their number.  A query first tries two documents of its rarest list directly, which
+connects most near copies.  Candidates that are already connected with the query are skipped, so a group of near copies
 costs one check per document and no pairs leave the task, only a spanning forest.
 
-A group of more than ``group_most`` classes is dealt over tasks: by bands of set sizes (linked sets are in one or
+A group that is still larger is dealt over tasks: by bands of set sizes (linked sets are in one or
 in neighbouring bands) and blocks of a band; a task holds a block and sees the queries of its band and of the next
 larger one as a stream.
 
-Lower case is for A to Z only.  Texts with fewer than five words have their whole word sequence as one shingle; a
+All columns but the id and the text go, so names can't clash; the memory of a long text is that of
+:mod:`recordloom.llm.words`.  Lower case is for A to Z only.  Texts with fewer than five words have their whole word sequence as one shingle; a
 null text, or one without words, has an empty set and links with nothing.  Repeated rows are copies of each other.
 """
 
@@ -28,20 +33,20 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import texts
+from recordloom.llm.common import texts, tidy
 from recordloom.llm.words import Batch, chunks, mix
 from recordloom.operators.components import connected_components
 from recordloom.state.shared import materialise
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUP_MOST = 2000
-HEAP_MOST = 2000
+GROUP_MOST = 500
 MU = 0.0085  # DivideSkip's weight of merging against probing
 
 
@@ -104,7 +109,7 @@ def _signatures(df: DataFrame, salt: int) -> DataFrame:
                 ["id", "k", "n", "c", "c2", "prefix"],
             )
 
-    return df.mapInArrow(each, f"id {df.schema['id'].dataType.simpleString()}, k bigint, n bigint, c bigint, c2 bigint, prefix array<bigint>")
+    return df.mapInArrow(tidy(each), f"id {df.schema['id'].dataType.simpleString()}, k bigint, n bigint, c bigint, c2 bigint, prefix array<bigint>")
 
 
 def classes(df: DataFrame) -> DataFrame:
@@ -116,20 +121,51 @@ def classes(df: DataFrame) -> DataFrame:
     raise RuntimeError("set hashes keep clashing")
 
 
-def candidate_groups(docs: DataFrame) -> DataFrame:
-    """``(c, g)``: classes that may have partners and their candidate group."""
-    first = docs.where("n > 0").select("c", "n", F.explode("prefix").alias("h"))
+def candidate_groups(first: DataFrame, need: Column) -> DataFrame:
+    """``(c, g)``: classes that may have partners and their candidate group, from ``(c, n, h)``: shingles of which linked classes share ``need``.
+
+    Of a class's shared shingles the rarest decide: all but ``need`` less one.
+    """
     # a shingle of copies of one class only is not shared
     shared = first.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("h", "df")
     rows = first.join(shared, "h").groupBy("c", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s"))
-    need = F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / 20).cast("int") + 1
-    rare = rows.withColumn("keep", F.size("s") - need + 1).where("keep > 0").select("c", F.explode(F.expr("slice(s, 1, keep).h")).alias("h"))
+    rare = rows.withColumn("keep", (F.size("s") - need + 1).cast("int")).where("keep > 0").select("c", F.explode(F.expr("slice(s, 1, keep).h")).alias("h"))
     rare = materialise(rare, "postings")
     hubs = rare.groupBy("h").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub <> far").select("h", "hub")
     edges = rare.join(hubs, "h").select("c", "hub").distinct()
     return connected_components(edges, "c", "hub").select(F.col("node").alias("c"), F.col("component").alias("g"))
 
 
+def _all_shingles(df: DataFrame) -> DataFrame:
+    """``(c, n, h)``: every shingle of the texts of ``(c, text)``."""
+
+    def each(batches):
+        for b in batches:
+            for at, data in chunks(x.encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()):
+                sets = shingle_sets(data)
+                size = np.array([len(s) for s in sets])
+                own = pa.array(np.repeat(np.arange(len(sets)) + at, size))
+                yield pa.RecordBatch.from_arrays([b.column("c").take(own), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).astype(np.int64))], ["c", "n", "h"])
+
+    return df.mapInArrow(tidy(each), "c bigint, n bigint, h bigint")
+
+
+def grouped(docs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], group_most: int) -> DataFrame:
+    """``(c, g)`` by prefixes; groups of more than ``group_most`` classes, which common passages hold together, anew by all shingles.
+
+    Of all its shingles a class needs only its rarest fifth to meet every partner, and passages that many share are not
+    among these.
+    """
+    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    groups = materialise(candidate_groups(docs.where("n > 0").select("c", "n", F.explode("prefix").alias("h")), F.floor(least / 20) + 1), "groups")
+    size = groups.groupBy("g").agg(F.count("*").alias("m"))
+    wide = groups.join(size.where(F.col("m") > group_most), "g").select("c")
+    if wide.isEmpty():
+        return groups
+    finer = candidate_groups(materialise(_all_shingles(texts_of(wide)), "all-shingles"), least)
+    return materialise(groups.join(size.where(F.col("m") <= group_most), "g").select("c", "g").unionByName(finer), "finer")
+
+
 class Lists:
     """Inverted lists of sets in order of size; positions in that order are the documents' numbers."""
 
@@ -167,37 +203,47 @@ class Lists:
         return int((t[np.minimum(at, len(t) - 1)] == s).sum())
 
 
-def divide_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
-    """Numbers on at least ``t`` of the sorted lists, with their counts."""
-    if t < 1 or len(lists) < t:
+def divide_skip(lists: list[list[int]], t: int, times: list[int] | None = None) -> list[tuple[int, int]]:
+    """Numbers on at least ``t`` of the sorted lists, with their counts; ``times``: how many lists each stands for."""
+    times = times or [1] * len(lists)
+    if t < 1 or sum(times) < t:
         return []
-    lists = sorted(lists, key=len)
-    aside = min(t - 1, int(t / (MU * math.log(max(2, len(lists[-1]))) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
+    most = min(t - 1, int(t / (MU * math.log(max(2, len(lists[order[-1]]))) + 1)))
+    aside, cut = 0, len(order)
+    while aside + times[order[cut - 1]] <= most:
+        cut -= 1
+        aside += times[order[cut]]
+    short, weight = [lists[i] for i in order[:cut]], [times[i] for i in order[:cut]]
+    long = [(lists[i], times[i]) for i in order[cut:]]
     least = t - aside
     heap = [(x[0], i) for i, x in enumerate(short)]
     heapq.heapify(heap)
     at = [0] * len(short)
     out = []
-    while len(heap) >= least:
-        d, popped = heap[0][0], []
+    while heap:
+        d, popped, got = heap[0][0], [], 0
         while heap and heap[0][0] == d:
             popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= least:
-            count = len(popped)
-            for k, x in enumerate(long):
-                if count + len(long) - k < t:
+            got += weight[popped[-1]]
+        if got >= least:
+            count, left = got, aside
+            for x, n in long:
+                if count + left < t:
                     break
+                left -= n
                 j = bisect_left(x, d)
-                count += j < len(x) and x[j] == d
+                if j < len(x) and x[j] == d:
+                    count += n
             if count >= t:
                 out.append((d, count))
             for i in popped:
                 at[i] += 1
         else:
             # documents below the next head can't be on enough lists: jump there
-            while heap and len(popped) < least - 1:
+            while heap and got + weight[heap[0][1]] < least:
                 popped.append(heapq.heappop(heap)[1])
+                got += weight[popped[-1]]
             if not heap:
                 break
             for i in popped:
@@ -208,33 +254,25 @@ def divide_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     return out
 
 
-def occurrences(docs: np.ndarray, begin: np.ndarray, t: int) -> list[tuple[int, int]]:
-    """:func:`divide_skip` over lists that lie behind each other in ``docs``.
-
-    Lists with more than ``HEAP_MOST`` entries to merge are merged as arrays, and the long ones probed by one
-    search over all of them, or counted where that touches fewer entries.
-    """
+def merged(docs: np.ndarray, begin: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    """The different ones of lists that lie behind each other in ``docs``, and how often each occurs; near copies share most of theirs."""
     size = np.diff(np.append(begin, len(docs)))
-    order = np.argsort(size, kind="stable")
-    aside = min(t - 1, int(t / (MU * math.log(max(2, int(size.max()))) + 1)))
-    short = np.zeros(len(size), bool)
-    short[order[: len(size) - aside]] = True
-    if size[short].sum() <= HEAP_MOST:
-        return divide_skip([x.tolist() for x in np.split(docs, begin[1:])], t)
-    of = np.repeat(short, size)
-    count = np.bincount(docs[of])
-    found = np.flatnonzero(count >= t - aside)
-    rest, lists = docs[~of], size[~short]
-    if len(found) * len(lists) < len(rest):
-        span = int(docs.max()) + 1
-        keys = rest + np.repeat(np.arange(len(lists)) * span, lists)
-        probe = (np.arange(len(lists)) * span)[:, None] + found[None]
-        at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-        more = (keys[at] == probe).sum(0)
-    else:
-        more = np.bincount(rest, minlength=len(count))[found] if len(found) else 0
-    total = count[found] + more
-    return [(int(d), int(n)) for d, n in zip(found, total, strict=True) if n >= t]
+    name = np.add.reduceat(mix(docs.astype(np.uint64) + np.uint64(1)), begin)
+    kinds: dict[tuple, int] = {}
+    order = np.lexsort((name, size))
+    times: list[int] = []
+    heads: list[int] = []
+    for i in order.tolist():
+        x = docs[begin[i] : begin[i] + size[i]]
+        key = (int(size[i]), int(name[i]))
+        k = kinds.get(key)
+        if k is not None and np.array_equal(x, docs[begin[heads[k]] : begin[heads[k]] + size[i]]):
+            times[k] += 1
+            continue
+        kinds[key] = len(heads)
+        heads.append(i)
+        times.append(1)
+    return [docs[begin[i] : begin[i] + size[i]].tolist() for i in heads], times
 
 
 def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) -> list[int]:
@@ -267,7 +305,8 @@ def partners(lists: Lists, s: np.ndarray, most: int, own: int | None = None) ->
     if free.any():
         docs, begin = lists.cut(found, free)
         if len(begin) >= t:
-            for d, common in occurrences(docs, begin, t):
+            lists_of, times = merged(docs, begin)
+            for d, common in divide_skip(lists_of, t, times):
                 if linked(common, n, int(lists.size[d])):
                     take(d)
     if own is not None:
@@ -338,8 +377,13 @@ def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataF
     """``(a, b, final)``: a spanning forest of the links between classes; final ones lead from a class to the least of its component."""
     spark = df.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = materialise(candidate_groups(docs), "groups")
     heads = docs.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "k")).alias("h"), F.min("n").alias("n")).select("c", F.col("h.id").alias("head"), F.col("h.k").alias("head_k"), "n")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """One text of each class: an id may be null, or stand for several texts."""
+        return rows.join(df, (rows["head_k"] == df["k"]) & rows["head"].eqNullSafe(df["id"]))
+
+    groups = grouped(docs, lambda wide: with_text(wide.join(heads, "c")).select("c", "text"), group_most)
     members = groups.join(heads, "c")
     size = groups.groupBy("g").agg(F.count("*").alias("m"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
@@ -352,9 +396,8 @@ def links(df: DataFrame, docs: DataFrame, group_most: int = GROUP_MOST) -> DataF
     asked = large.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).join(blocks, ["g", "band"])
     asked = asked.select("g", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "c", "head", "head_k")
     members = small.union(held).union(asked)
-    # one text of each class: an id may be null, or stand for several texts
-    rows = members.join(df, (members["head_k"] == df["k"]) & members["head"].eqNullSafe(df["id"])).repartition(parts, "g", "band", "block").sortWithinPartitions("g", "band", "block", "role", "c")
-    return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(_search, "a bigint, b bigint, final boolean")
+    rows = with_text(members).repartition(parts, "g", "band", "block").sortWithinPartitions("g", "band", "block", "role", "c")
+    return rows.select("g", "band", "block", "role", "c", "text").mapInArrow(tidy(_search), "a bigint, b bigint, final boolean")
 
 
 def _members(df: DataFrame, group_most: int) -> tuple[DataFrame, DataFrame]:
