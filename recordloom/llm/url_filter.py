@@ -6,25 +6,27 @@ decides.  The probability of a character interpolates orders 0 to ``ORDER``: ``(
 its characters of the log-likelihood difference; the threshold that separates them is calibrated on a fifth of the
 labelled URLs (by hash), which the counts leave out.
 
-Counts cover every other labelled URL and are summed by key in Spark.  Contexts are hashed to ``2 ** bits`` places
-for each order, with bits growing with the number of labelled URLs from 16 to 22, so the tables that executors
-get are at most ``2 * 2 * (ORDER + 1) * 4`` MB at 22 bits.
+Counts cover every other labelled URL, exactly: a table of (byte with the four before it, counts by class) that grows
+with the URLs, from which shorter contexts are summed.  The log ratio is worked out once for each different gram of the
+URLs to judge, by joins of tables of grams, and summed by URL; nothing of the model passes through the driver, and what is
+broadcast has at most 65,536 rows.  A byte 0 in a URL counts as the zeros that stand before its begin.
 
 A null URL, or one without ``://``, has an empty host and path; its text (null: empty) is still scored.  Without
-labelled URLs of both kinds the method allows everything.  Repeated rows give repeated results.
+labelled URLs of both kinds the method allows everything.  A URL is scored once and repeated rows share the result.  Extra
+columns go, so names can't clash; a long URL takes about 100 bytes of memory a byte.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, WEIGHT, BINS = 4, 2.0, 400
+from recordloom.llm.common import small_batches, tidy
+from recordloom.state.shared import materialise
+
+ORDER, WEIGHT, BINS, FREQUENT = 4, 2.0, 400, 65_536
 #: Verdict and rule; the rule's host ends at its first slash.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -49,108 +51,88 @@ def rule_of(host_col: Column, path_col: Column, rules=RULES) -> Column:
     return out
 
 
-def places(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each order (rows) and byte (columns): place of its context, and of the context with the byte."""
-    n = len(data)
-    context = np.zeros((ORDER + 1, n), np.uint64)
-    x = data.astype(np.uint64) + np.uint64(1)
-    for k in range(1, ORDER + 1):
-        before = np.zeros(n, np.uint64)
-        before[k:] = x[:-k] if n > k else before[k:]
-        context[k] = context[k - 1] * np.uint64(0x9E3779B97F4A7C15) + before
-    mixed = (context + np.arange(ORDER + 1, dtype=np.uint64)[:, None]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    joint = (mixed ^ (x * np.uint64(0x165667B19E3779F9))) * np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - bits)
-    return (mixed >> shift).astype(np.int64), (joint >> shift).astype(np.int64)
-
-
-@dataclass
-class Model:
-    """Counts by class (0 accepted, 1 rejected), order and place, of contexts and of contexts with a byte."""
-
-    bits: int
-    context: np.ndarray
-    joint: np.ndarray
-    threshold: float = 0.0
-
-    def score(self, url: str) -> float:
-        """Mean log-likelihood difference of the bytes, accepted less rejected."""
-        data = np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)
-        if not len(data):
-            return 0.0
-        c, j = places(data, self.bits)
-        total = 0.0
-        for kind, sign in ((0, 1.0), (1, -1.0)):
-            p = np.full(len(data), 1 / 256)
-            for k in range(ORDER + 1):
-                p = (self.joint[kind, k, j[k]] + WEIGHT * p) / (np.maximum(self.context[kind, k, c[k]], self.joint[kind, k, j[k]]) + WEIGHT)
-            total += sign * float(np.log(p).sum())
-        return total / len(data)
-
-
-def _counts(labelled: DataFrame, bits: int) -> DataFrame:
-    """``(place, n)`` over all rows of ``(url, kind)``; one row for each place and task goes to the shuffle."""
+def grams(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``(*keep, gram, n)``: the bytes of each URL with the ``ORDER`` before them as one number, zeros before its begin, and how often."""
 
     def each(batches):
-        size = 2 * 2 * (ORDER + 1) << bits
-        total = np.zeros(size, np.int64)
         for b in batches:
-            for url, kind in zip(b.column("url").to_pylist(), b.column("kind").to_pylist(), strict=True):
-                data = np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)
-                if not len(data):
-                    continue
-                for part, at in enumerate(places(data, bits)):
-                    base = ((kind * 2 + part) * (ORDER + 1) + np.arange(ORDER + 1))[:, None] << bits
-                    np.add.at(total, (base + at).ravel(), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536]), pa.array(total[at[i : i + 65536]])], ["place", "n"])
-
-    return labelled.mapInArrow(each, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-def fit(labelled: DataFrame) -> Model | None:
-    """Learn from ``(url, kind)``; None unless both kinds occur."""
-    src = labelled.select("url", "kind", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
-    seen = {r["kind"]: r["n"] for r in src.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    if len(seen) < 2:
-        return None
-    bits = min(22, max(16, math.ceil(math.log2(8 * sum(seen.values())))))
-    table = np.zeros(2 * 2 * (ORDER + 1) << bits, np.float32)
-    got = _counts(src.where("NOT held"), bits).toArrow()  # at most 20 << bits rows
-    table[got["place"].to_numpy()] = got["n"].to_numpy()
-    table = table.reshape(2, 2, ORDER + 1, 1 << bits)
-    model = Model(bits, table[:, 0], table[:, 1])
-    scored = _scored(src.where("held").select("url", "kind"), model, ("kind",))
+            data = [x.encode("utf-8", "surrogatepass") for x in b.column("url").to_pylist()]
+            size = np.array([len(x) for x in data], np.int64)
+            raw = np.frombuffer(b"".join([bytes(ORDER) + x for x in data]), np.uint8)
+            row = np.repeat(np.arange(len(data)), size + ORDER)
+            at = np.arange(len(raw)) - np.repeat(np.cumsum(size + ORDER) - size - ORDER, size + ORDER)
+            gram = np.zeros(len(raw), np.int64)
+            for k in range(ORDER + 1):
+                gram[k:] |= raw[: len(raw) - k].astype(np.int64) << 8 * k
+            order = np.lexsort((gram, row))
+            order = order[at[order] >= ORDER]
+            row, gram = row[order], gram[order]
+            cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])]) if len(row) else np.empty(0, int)
+            own = pa.array(row[cut])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(own) for c in keep), pa.array(gram[cut]), pa.array(np.diff(np.append(cut, len(row))))], [*keep, "gram", "n"])
+
+    return df.select(*keep, "url").mapInArrow(tidy(each), ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", gram bigint, n bigint")
+
+
+def ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with ``ratio``: log of a gram's last byte's probability among accepted URLs over that among rejected ones.
+
+    The counts of shorter contexts are sums over ``counts``, the exact table of ``(gram, n0, n1)``.  A key of ``k`` bytes has
+    at most ``256 ** (ORDER + 1 - k)`` different grams, so no key is hot.
+    """
+    bits = lambda k: F.lit((1 << 8 * k) - 1)
+    both = (F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    out = wanted
+    for k in range(ORDER + 1):
+        for name, key, size in (("joint", F.col("gram").bitwiseAND(bits(k + 1)), k + 1), ("context", F.shiftright("gram", 8).bitwiseAND(bits(k)), k)):
+            table = counts.groupBy(key.alias("key")).agg(*both).select("key", F.col("a").alias(f"{name}{k}_0"), F.col("b").alias(f"{name}{k}_1"))
+            # at most 65,536 keys of two bytes
+            out = out.withColumn("key", key).join(F.broadcast(table) if size <= 2 else table, "key", "left").drop("key")
+    total = F.lit(0.0)
+    for kind, sign in ((0, 1), (1, -1)):
+        p = F.lit(1 / 256)
+        for k in range(ORDER + 1):
+            p = (F.coalesce(f"joint{k}_{kind}", F.lit(0)) + WEIGHT * p) / (F.coalesce(f"context{k}_{kind}", F.lit(0)) + WEIGHT)
+        total = total + sign * F.log(p)
+    return out.select(*wanted.columns, total.alias("ratio"))
+
+
+def scores(used: DataFrame, ratio: DataFrame) -> DataFrame:
+    """``(h, t, score)``: the mean ratio of the bytes of each URL; the ``FREQUENT`` grams on most URLs are joined without a shuffle."""
+    often = F.broadcast(ratio.orderBy(F.desc("urls"), "gram").limit(FREQUENT).select("gram", F.col("ratio").alias("known")))
+    first = used.join(often, "gram", "left")
+    rest = first.where("known IS NULL").join(ratio.select("gram", "ratio"), "gram")
+    part = lambda df, c: df.groupBy("h", "t").agg(F.sum(F.col("n") * F.col(c)).alias("sum"), F.sum("n").alias("n"))
+    all_of = part(first.where("known IS NOT NULL"), "known").unionByName(part(rest, "ratio"))
+    # sums of doubles depend on their order by some 1e-16; rounding keeps equal URLs and runs equal
+    return all_of.groupBy("h", "t").agg(F.round(F.sum("sum") / F.sum("n"), 9).alias("score"))
+
+
+def threshold(scored: DataFrame) -> float:
+    """Of ``(kind, score)``: accepted at or above it, rejected below it, with the least balanced error, nearest to 0."""
     bins = scored.groupBy("kind", F.round(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), "score")) * (BINS / 4)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
     hist = np.zeros((2, BINS + 1))
     for r in bins:
         hist[r["kind"], r["bin"] + BINS // 2] += r["n"]
     share = hist / np.maximum(1, hist.sum(1, keepdims=True))
-    # accepted at or above the threshold, rejected below it: the threshold of least balanced error, nearest to 0
     wrong = np.concatenate([[0], np.cumsum(share[0])[:-1]]) + (1 - np.concatenate([[0], np.cumsum(share[1])[:-1]]))
     best = min(range(BINS + 1), key=lambda i: (round(wrong[i], 9), abs(i - BINS // 2)))
-    model.threshold = (best - BINS // 2 - 0.5) / (BINS / 4)
-    return model
-
-
-def _scored(df: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def each(batches):
-        score = shared.value.score
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([score(x or "") for x in b.column("url").to_pylist()], pa.float64())], [*keep, "score"])
-
-    return df.mapInArrow(each, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return (best - BINS // 2 - 0.5) / (BINS / 4)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """``(id, host, path, rule, verdict, score)`` of every URL."""
     raw = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     src = raw.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"))
-    model = fit(src.where("ruled is not null").select("url", F.when(F.col("ruled") == "block", 1).otherwise(0).alias("kind")))
-    if model is None:
+    small_batches(pages.sparkSession)
+    labelled = src.where("ruled is not null").select("url", F.when(F.col("ruled") == "block", 1).otherwise(0).alias("kind"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
+    if labelled.groupBy("kind").count().count() < 2:
         return src.select("id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    out = _scored(src, model, ("id", "host", "path", "rule", "ruled"))
-    return out.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= model.threshold, "allow").otherwise("block")).alias("verdict"), "score")
+    urls = src.select("url").distinct().withColumns({"h": F.xxhash64("url"), "t": F.xxhash64("url", F.lit(1))})
+    counts = materialise(grams(labelled.where("NOT held").select("kind", "url"), ("kind",)).groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))), "gram-counts")
+    used = grams(urls, ("h", "t"))
+    ratio = materialise(ratios(counts, used.groupBy("gram").agg(F.count("*").alias("urls"))), "gram-ratios")
+    scored = materialise(scores(used, ratio), "url-scores")
+    keyed = lambda df: df.withColumns({"h": F.xxhash64("url"), "t": F.xxhash64("url", F.lit(1))}).join(scored, ["h", "t"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    least = threshold(keyed(labelled.where("held")))
+    return keyed(src).select("id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
