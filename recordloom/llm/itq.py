@@ -14,9 +14,13 @@ A bucket of more than ``block`` vectors is dealt over several tasks: each keeps
 of the bucket as a stream.  Links are counted where they are found and never written as pairs; what leaves a task
 are counts and a spanning forest.
 
-Vectors that are null, zero, or hold a null, NaN or infinite component link with nothing.  Vectors of different
-lengths are not compared.  Rows of one id count as one vector seen again: they don't link with each other, and each
-gets the id's result.  An empty table gives an empty result.
+Equal vectors go as one with their number, so copies cost no comparisons; a vector's links count all copies of those it
+links with, and its own other copies.
+
+Vectors that are null, zero, or hold a null, NaN or infinite component link with nothing, and so do those with a null id.
+Vectors of different lengths are not compared.  Rows of one id count as one vector seen again: they don't link with each
+other, and each gets the id's result; if they differ, the least of the id's vectors counts.  Extra columns go, so names
+can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import tidy
 from recordloom.operators.components import connected_components
 from recordloom.state.shared import materialise
 
@@ -132,63 +137,64 @@ def flips(s: int, r: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of unit length, and which of the vectors they are."""
-    rows, keep = [], []
-    for i, v in enumerate(vectors):
-        if v is None or len(v) == 0:
-            continue
-        x = np.array([np.nan if c is None else c for c in v], np.float64) if not isinstance(v, np.ndarray) else v
-        n = np.linalg.norm(x)
-        if np.isfinite(n) and n > 0:
-            rows.append(x / n)
-            keep.append(i)
-    return rows, np.array(keep, np.int64)
+def _usable(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length: which of a list column's vectors are finite and not zero, and these as rows."""
+    size = np.diff(vectors.offsets.to_numpy())
+    size[~vectors.is_valid().to_numpy(zero_copy_only=False)] = 0
+    flat, begin, out = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()[:-1], []
+    for d in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == d)
+        x = flat[begin[at][:, None] + np.arange(d)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            n = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(n) & (n > 0)
+        out.append((at[ok], x[ok]))
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, threshold: float = THRESHOLD) -> dict[int, Quantiser]:
     """A quantiser for each vector length in a sample of the ``n`` rows of ``(id, v)``."""
     if n > 2 * sample:
-        vectors = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.ceil(1_000_003 * 1.5 * sample / n))
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].to_pylist()
-    rows, _ = _unit(got)
-    by: dict[int, list] = {}
-    for x in rows:
-        by.setdefault(len(x), []).append(x)
+        vectors = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil((1 << 40) * 1.5 * sample / n))
+    got = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     out = {}
-    for d, x in by.items():
-        x = np.array(x)
-        out[d] = q = learn(x)
+    for _, x in _usable(got) if len(got) else []:
+        if not len(x):
+            continue
+        x = _unit(x)
+        out[x.shape[1]] = q = learn(x)
         q.plan = tables(n, q.bits, trials(x, q, threshold))
     return out
 
 
 def _keyed(vectors: DataFrame, quantisers: dict[int, Quantiser], kind: str) -> DataFrame:
-    """``(key, role, id, code, raw)``: role 0 for the bucket a vector lies in, 1 for others that its queries look into."""
+    """``(key, role, id, copies, code, raw)``: role 0 for the bucket a vector lies in, 1 for others that its queries look into."""
 
     def each(batches):
         for b in batches:
-            ids, values = b.column("id").to_pylist(), b.column("v").to_pylist()
-            rows, keep = _unit(values)
-            by: dict[int, list[int]] = {}
-            for i, x in enumerate(rows):
-                by.setdefault(len(x), []).append(i)
-            for d, at in by.items():
+            if not b.num_rows:
+                continue
+            for at, x in _usable(b.column("v")):
+                d = x.shape[1]
                 q = quantisers.get(d)
                 if q is None:  # a length the sample lacks: few vectors, of which all pairs are compared
                     q = Quantiser(np.zeros(d), np.eye(d)[:, : min(64, d)])
                 s, m, r = q.plan
-                x = np.array([rows[i] for i in at])
-                code = q.codes(x)
-                names = [ids[keep[i]] for i in at]
-                raw = [np.array(values[keep[i]], kind).tobytes() for i in at]
+                code = q.codes(_unit(x))
+                names, copies = b.column("id").take(pa.array(at)), b.column("copies").take(pa.array(at))
+                wide = np.ascontiguousarray(x.astype(kind))
+                raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * wide.itemsize * d).astype(np.int32)), pa.py_buffer(wide)])
                 for t in range(m):
                     part = code >> np.uint64(t * s) & np.uint64((1 << s) - 1)
                     base = np.uint64((d << 6 | t) << 32)
                     for mask in flips(s, r):
-                        yield pa.RecordBatch.from_arrays([pa.array((base | part ^ mask).astype(np.int64)), pa.array(np.full(len(x), int(mask != 0), np.int32)), pa.array(names, b.column("id").type), pa.array(code.astype(np.int64)), pa.array(raw, pa.binary())], ["key", "role", "id", "code", "raw"])
+                        yield pa.RecordBatch.from_arrays([pa.array((base | part ^ mask).astype(np.int64)), pa.array(np.full(len(x), int(mask != 0), np.int32)), names, copies, pa.array(code.astype(np.int64)), raw], ["key", "role", "id", "copies", "code", "raw"])
 
-    return vectors.mapInArrow(each, f"key bigint, role int, id {vectors.schema['id'].dataType.simpleString()}, code bigint, raw binary")
+    return vectors.mapInArrow(tidy(each), f"key bigint, role int, id {vectors.schema['id'].dataType.simpleString()}, copies bigint, code bigint, raw binary")
 
 
 class Bucket:
@@ -200,11 +206,11 @@ class Bucket:
         s, _, self.radius = plans.get(d, (0, 1, 0))
         self.s, self.mask, self.threshold = s, np.uint64((1 << s) - 1), threshold
         self.ids: list = []
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ready = False
 
     def close(self) -> None:
-        self.code, self.unit = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.code, self.unit, self.copies = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.label, self.ready = np.arange(len(self.ids)), True
 
     def ask(self, ids: list, code: np.ndarray, unit: np.ndarray, out: list[tuple]) -> None:
@@ -228,7 +234,7 @@ class Bucket:
             hits = [h for h in k[a:z].tolist() if self.ids[h] != own]
             if not hits:
                 continue
-            out.append((own, len(hits), own, self.ids[hits[0]]))
+            out.append((own, int(self.copies[hits].sum()), own, self.ids[hits[0]]))
             kinds = np.unique(self.label[hits])
             for other in kinds[1:]:
                 out.append((None, 0, self.ids[other], self.ids[kinds[0]]))
@@ -258,7 +264,7 @@ def _linker(plans: dict[int, tuple[int, int, int]], threshold: float, kind: str)
             if not b.num_rows:
                 continue
             id_type = b.column("id").type
-            key, block, role = (b.column(c).to_numpy() for c in ("key", "block", "role"))
+            key, block, role, copies = (b.column(c).to_numpy() for c in ("key", "block", "role", "copies"))
             code = b.column("code").to_numpy().astype(np.uint64)
             name, raw = b.column("id").to_pylist(), b.column("raw").to_pylist()
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])])
@@ -270,7 +276,7 @@ def _linker(plans: dict[int, tuple[int, int, int]], threshold: float, kind: str)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if role[a] == 0:
                     bucket.ids += name[a:z]
-                    bucket.parts.append((code[a:z], x))
+                    bucket.parts.append((code[a:z], x, copies[a:z]))
                     continue
                 finish()
                 if bucket.ready:
@@ -284,24 +290,37 @@ def _linker(plans: dict[int, tuple[int, int, int]], threshold: float, kind: str)
     return each
 
 
+def _links(v: Column) -> Column:
+    """Whether a vector can link: not empty, its components finite, and not all zero."""
+    size = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    return size.isNotNull() & ~F.isnan(size) & (size > 0) & (size < float("inf"))
+
+
 def links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every row."""
     src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     n = src.count()
-    usable = src.where("id is not null and v is not null").dropDuplicates(["id"])
+    one = src.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    own = one.select("id", F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(1)).alias("t"), "v")
+    # equal vectors as one: the least id stands for its copies
+    usable = materialise(own.groupBy("h", "t").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
     quantisers = fit(usable, n, sample, threshold)
     wide_type = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     keyed = _keyed(usable, quantisers, wide_type)
     wide = keyed.where("role = 0").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # a vector is held in one block of its bucket and asks all of them
     every = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> named_struct('block', x, 'role', IF(role = 0 AND x = pmod(xxhash64(id), blocks), 0, 1)))"))
-    dealt = keyed.join(wide, "key").select("key", "id", "code", "raw", every.alias("at")).select("key", "at.*", "id", "code", "raw")
+    dealt = keyed.join(wide, "key").select("key", "id", "copies", "code", "raw", every.alias("at")).select("key", "at.*", "id", "copies", "code", "raw")
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = src.schema["id"].dataType.simpleString()
     plans = {d: q.plan for d, q in quantisers.items()}
-    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linker(plans, threshold, wide_type), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
+    found = materialise(dealt.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(tidy(_linker(plans, threshold, wide_type)), f"id {kind}, n bigint, a {kind}, b {kind}"), "links")
     count = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
     comp = connected_components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
-    out = src.select("id").join(count, "id", "left").join(comp, "id", "left")
+    # what holds for a vector holds for its copies; those that can't link with anything have none
+    linked = usable.where(_links(F.col("v"))).select("h", "t", F.col("id").alias("rep"), "copies").join(count.withColumnRenamed("id", "rep"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = linked.select("h", "t", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = own.select("id", "h", "t").join(linked, ["h", "t"]).select("id", "n_links", "component")
+    out = src.select("id").join(known, "id", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
