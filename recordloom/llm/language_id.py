@@ -1,16 +1,17 @@
 """Language ID: a byte convolutional network trained in numpy.
 
-Bytes become 64 classes; filters of widths 2, 3 and 4 run over fixed-length windows, their responses are
+Bytes are folded only where nothing is lost for a language (case of A to Z, blanks, digits, zero is padding); filters of widths 2, 3 and 4 run over fixed-length windows, their responses are
 max-pooled over the window, and a softmax layer gives the languages.  A text's probabilities are the mean over all
 its windows, weighted by their bytes; nothing of a text is left out.  After training, each filter's response is
-tabulated for all class pairs (width 2), triples (3) and two pairs (4), which gives the same sums by one or two
-lookups.
+tabulated for all class pairs (width 2), pairs and single classes (3) and two pairs (4), which gives the same sums by one
+or two lookups.
 
 Training reads a bounded sample: at most ``docs_per_lang`` labelled texts of each language, chosen by a hash of the
 id, and ``windows_per_doc`` evenly spaced windows of each.  Prediction is per-row work in Arrow batches; the model
 (a few KB) travels with the function.
 
-A null text, or one without a letter, gets ``und`` with score 0; so does every text if there is nothing to learn
+Extra columns go unless kept, so names can't clash.  A long text takes about 30 bytes of memory a byte.  A null text, or one
+without a letter, gets ``und`` with score 0; so does every text if there is nothing to learn
 from.  Rows with a null label or id are not learned from.  Repeated rows give repeated results.
 """
 
@@ -23,21 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import small_batches, texts
+from recordloom.llm.common import small_batches, texts, tidy
 
-WINDOW, WIDTHS, FILTERS, DIM, CLASSES = 128, (2, 3, 4), 8, 8, 64
+WINDOW, WIDTHS, FILTERS, DIM, CLASSES = 128, (2, 3, 4), 8, 8, 256
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 16
 
 
 def byte_classes() -> np.ndarray:
-    """Class of each byte: 0 padding, letters without case, blank, digit, other ASCII, and UTF-8 parts without case."""
-    c = np.full(256, 29, np.uint8)
-    for i in range(26):
-        c[97 + i] = c[65 + i] = 1 + i
-    c[[9, 10, 11, 12, 13, 32]] = 27
-    c[48:58] = 28
-    c[0x80:0xC0] = 30 + (np.arange(64) & 31)
-    c[0xC0:0xE0], c[0xE0:] = 62, 63
+    """Class of each byte: itself, but for the case of A to Z, blanks and digits."""
+    c = np.arange(256, dtype=np.uint8)
+    c[65:91] += 32
+    c[[9, 10, 11, 12, 13]] = 32
+    c[48:58] = 48
     return c
 
 
@@ -69,8 +67,7 @@ class Net:
         two, three, four = self.responses()
         pair = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
         t2 = pair(*two).astype(np.float32)
-        t3 = (pair(three[0], three[1])[:, None] + three[2][None]).reshape(-1, FILTERS).astype(np.float32)
-        return t2, t3, pair(four[0], four[1]).astype(np.float32), pair(four[2], four[3]).astype(np.float32)
+        return t2, pair(three[0], three[1]).astype(np.float32), three[2].astype(np.float32), pair(four[0], four[1]).astype(np.float32), pair(four[2], four[3]).astype(np.float32)
 
     def head(self, pooled: np.ndarray) -> np.ndarray:
         z = np.maximum(pooled + self.bias, 0) @ self.dense + self.dense_bias
@@ -79,15 +76,16 @@ class Net:
 
     def predict(self, rows: np.ndarray, tables: tuple[np.ndarray, ...], block: int = 256) -> np.ndarray:
         """Probabilities of each window."""
-        t2, t3, t4a, t4b = tables
+        t2, t3a, t3b, t4a, t4b = tables
         out = np.empty((len(rows), len(self.langs)))
         for i in range(0, len(rows), block):
             c = np.ascontiguousarray(rows[i : i + block].T).astype(np.int32)
-            pair = (c[:-1] << 6) + c[1:]
-            triple = (pair[:-1] << 6) + c[2:]
+            pair = (c[:-1] << 8) + c[1:]
+            three = t3a.take(pair[:-1], axis=0)
+            three += t3b.take(c[2:], axis=0)
             four = t4a.take(pair[:-2], axis=0)
             four += t4b.take(pair[2:], axis=0)
-            out[i : i + block] = self.head(np.concatenate([t2.take(pair, axis=0).max(0), t3.take(triple, axis=0).max(0), four.max(0)], 1))
+            out[i : i + block] = self.head(np.concatenate([t2.take(pair, axis=0).max(0), three.max(0), four.max(0)], 1))
         return out
 
 
@@ -159,7 +157,7 @@ def sample(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
                     data.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "w"])
 
-    got = thin.select("text", "lang").mapInArrow(each, "lang string, w binary").orderBy("lang", "w").toArrow()
+    got = thin.select("text", "lang").mapInArrow(tidy(each), "lang string, w binary").orderBy("lang", "w").toArrow()
     langs = sorted({x for x in got["lang"].to_pylist()})
     rows = np.frombuffer(b"".join(got["w"].to_pylist()), np.uint8).reshape(-1, WINDOW)
     return rows, np.array([langs.index(x) for x in got["lang"].to_pylist()], int), langs
@@ -208,7 +206,7 @@ def predict(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(f"keep_{c}") for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", *keep, "lang_pred", "score"])
 
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}{kept}, lang_pred string, score double")
+    return src.mapInArrow(tidy(each), f"id {src.schema['id'].dataType.simpleString()}{kept}, lang_pred string, score double")
 
 
 def fit(labelled: DataFrame, **sizes) -> Net | None:
