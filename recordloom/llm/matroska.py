@@ -13,6 +13,7 @@ Repeated rows give repeated results, an empty table an empty one.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import texts
+from recordloom.llm.common import texts, tidy
 
 # Element ids of the Matroska specification.
 EBML, DOCTYPE, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -216,8 +217,15 @@ def parse(data: bytes) -> Media:
         return int.from_bytes(data[a:b], "big")
 
     def flt(a: int, b: int) -> float:
+        if b - a not in (0, 4, 8):
+            raise ValueError("a float of another size than 0, 4 or 8 bytes")
         return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
 
+    def fits(n: int) -> int:
+        if abs(n) >= 1 << 63:
+            raise ValueError("a number beyond 64 bits")
+        return n
+
     def block(a: int, b: int, time: int, key: bool | None) -> None:
         track, a = vint(data, a, b)
         if a + 3 > b:
@@ -225,7 +233,7 @@ def parse(data: bytes) -> Media:
         rel, flags = struct.unpack(">hB", data[a : a + 3])
         how = flags >> 1 & 3
         for i, (at, n) in enumerate(_frames(data, a + 3, b, how)):
-            m.packets.append((track, (time + rel) * m.scale, bool(flags & 0x80) if key is None else key, LACES[how], m.blocks, i, at, n))
+            m.packets.append((track, fits((time + rel) * m.scale), bool(flags & 0x80) if key is None else key, LACES[how], m.blocks, i, at, n))
         m.blocks += 1
 
     for top, a0, b0 in elements(data, 0, len(data)):
@@ -272,7 +280,7 @@ def parse(data: bytes) -> Media:
                             when = uint(p, q)
                         elif k == CUE_PLACE:
                             inner = {kk: uint(pp, qq) for kk, pp, qq in elements(data, p, q)}
-                            m.cues.append((when * m.scale, inner.get(CUE_TRACK, 0), base + inner.get(CUE_CLUSTER, 0)))
+                            m.cues.append((fits(when * m.scale), fits(inner.get(CUE_TRACK, 0)), fits(base + inner.get(CUE_CLUSTER, 0))))
     if not found:
         raise ValueError("no segment")
     # Frames of a lace follow each other by the track's rate where it has one.
@@ -281,7 +289,10 @@ def parse(data: bytes) -> Media:
         if p[5] and rate and m.tracks[p[0]].get("codec", "").startswith("A_PCM"):
             width = max(1, m.tracks[p[0]].get(DEPTH, 8) // 8 * m.tracks[p[0]].get(CHANNELS, 1))
             before = m.packets[i - 1]
-            m.packets[i] = (p[0], before[1] + int(before[7] // width * 1_000_000_000 / rate), *p[2:])
+            step = before[7] // width * 1_000_000_000 / rate
+            if not math.isfinite(step):
+                raise ValueError("a rate that gives no time")
+            m.packets[i] = (p[0], fits(before[1] + int(step)), *p[2:])
     return m
 
 
@@ -299,7 +310,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(padded(x), lacing) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
     src = texts(df, id_col, text_col)
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    return src.mapInArrow(tidy(each), f"id {src.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def _feature(m: Media, payload: bytes) -> str:
@@ -329,7 +340,7 @@ def read_back(df: DataFrame, id_col: str = "id", media_col: str = "media", keep:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *keep)), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True))], ["id", *keep, "media_bytes", "payload", "feature", "error"])
 
     kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in ("id", *keep))
-    return src.mapInArrow(each, f"{kinds}, media_bytes bigint, payload binary, feature string, error string")
+    return src.mapInArrow(tidy(each), f"{kinds}, media_bytes bigint, payload binary, feature string, error string")
 
 
 def _table(df: DataFrame, id_col: str, media_col: str, names: list[tuple[str, pa.DataType]], rows_of, schema: str) -> DataFrame:
@@ -350,7 +361,7 @@ def _table(df: DataFrame, id_col: str, media_col: str, names: list[tuple[str, pa
             cols = list(zip(*rows, strict=True)) or [[]] * (len(names) + 1)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, [*(k for _, k in names), pa.string()], strict=True))], ["id", *(n for n, _ in names), "error"])
 
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, {schema}, error string")
+    return src.mapInArrow(tidy(each), f"id {src.schema['id'].dataType.simpleString()}, {schema}, error string")
 
 
 def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:

@@ -11,6 +11,10 @@ Only histograms (at most 65 numbers) come to the driver.  Pieces are ranked with
 counters plus offsets of task totals, so no class is gathered in one task, and a rank decides the place by interval
 lookup.  The pieces are written once to the shared folder, because ranks must not change when a task runs again.
 
+Tokens are the library's.  Words of up to 64 Latin characters are cut by the tokenizer's own pattern and remembered; words
+with other letters, special strings or more characters, and texts with the separators 0x1C to 0x1F, are encoded by the
+library as they stand, with the same ids.  A long text takes memory in proportion to its bytes.
+
 A null text is empty (it still has the end id).  Rows with one id twice are packed as two documents.  An empty
 table packs into nothing.
 """
@@ -32,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recordloom.llm.common import Memo, texts, tokenizer_path
+from recordloom.llm.common import Memo, texts, tidy, tokenizer_path
 from recordloom.llm.token_counts import byte_chars
 from recordloom.state.shared import materialise
 
-WINDOW, BLOCK, UNIT, SLOTS, DEPTH, END = 4096, 128, 4, 32, 8, 2
+WINDOW, BLOCK, UNIT, SLOTS, DEPTH, END, LONG = 4096, 128, 4, 32, 8, 2, 64
 #: Fixed value: the pre-token pattern of the word-level tokenizer.
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -70,7 +74,7 @@ class Words:
         return array("I", [t.id for t in self.model.tokenize("".join(map(self.write.__getitem__, x.encode())))]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or len(word) > 64 or max(word) > "ɏ":  # special strings; letters whose case rules differ
+        if "<|" in word or len(word) > LONG or max(word) > "ɏ":  # special strings; letters whose case rules differ
             return self.library(word)
         word = unicodedata.normalize("NFC", word).lower()
         return b"".join([self.pretoken[x] for x in WORD_PATTERN.findall(word)])
@@ -78,7 +82,10 @@ class Words:
     def encode(self, text: str) -> bytes:
         if SEPARATORS.search(text):  # white space here, but not to the library
             return self.library(text)
-        return b"".join(map(self.word.__getitem__, text.split()))
+        words = text.split()
+        if max(map(len, words), default=0) > LONG:  # long words are encoded, but not remembered
+            return b"".join([self.word[w] if len(w) <= LONG else self._word(w) for w in words])
+        return b"".join(map(self.word.__getitem__, words))
 
 
 @lru_cache
@@ -294,7 +301,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(list(cols[0]), pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols[1:], kinds, strict=True))], ["id", "start", "length", "crc", "doc_tokens", "cls", "task", "rank", "alt", "ids"])
 
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, start bigint, length bigint, crc bigint, doc_tokens bigint, cls int, task int, rank bigint, alt array<bigint>, ids binary")
+    return src.mapInArrow(tidy(each), f"id {src.schema['id'].dataType.simpleString()}, start bigint, length bigint, crc bigint, doc_tokens bigint, cls int, task int, rank bigint, alt array<bigint>, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", keep_ids: bool = False) -> DataFrame:
@@ -338,7 +345,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", keep_ids: bool =
             yield pa.RecordBatch.from_arrays([b.column("id").take(take), pa.array(s), pa.array(n), pa.array(code), b.column("doc_tokens").take(take), pa.array(sequence), pa.array(order), pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "ids"])
 
     kind = ranked.schema["id"].dataType.simpleString()
-    placed = ranked.mapInArrow(each, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint, ids binary")
+    placed = ranked.mapInArrow(tidy(each), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint, ids binary")
     # a sequence holds at most 32 * 32 pieces
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot")) - F.col("length")
     out = placed.withColumn("offset", offset)

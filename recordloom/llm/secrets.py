@@ -11,7 +11,8 @@ running sums of their lengths are the positions in code points.  The plan has no
 log ratios become one array literal.
 
 A null text is empty and has no spans; a null id is kept.  Repeated rows give repeated results; without any
-document the models fall back to their smoothing.
+document the models fall back to their smoothing.  Extra columns go unless kept, so names can't clash.  A text is one row
+throughout, so a long one takes memory in proportion to its bytes, and time with the square of the spans it has.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def transitions(values: DataFrame) -> DataFrame:
 def training_values(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``(label, value)`` from a bounded sample of ``(id, text)``: secrets of the base patterns, and other long words."""
     total = docs.count()
-    thin = docs if total <= sample_docs else docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < math.floor(1_000_003 * sample_docs / total))
+    thin = docs if total <= sample_docs else docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil((1 << 40) * sample_docs / total))
     base = _fixed(_fixed(thin, text=F.col("text"), long=long_token()), text=F.col("text"), b=base_spans())
     random = base.where("size(b) > 0").select(F.lit("random").alias("label"), F.explode("b.value").alias("value"))
     # words that no base span of the text contains, with two digits at most

@@ -3,7 +3,7 @@
 :func:`prove` shows once, before any text is read, which vocabulary strings the merges turn into one token when
 they stand alone.  A pre-token that is one of them counts 1 by a set lookup; only the others go through the
 merges.  Counting is per-row work in Arrow batches without a shuffle; what a worker remembers is bounded by
-``memo`` entries.
+``memo`` entries of 64 characters at most.  A long text takes memory in proportion to its bytes.
 
 A null text counts as empty (0 tokens).  Special strings inside a text are special tokens, as is the library's
 default.  Repeated rows give repeated results, an empty table an empty one.
@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from recordloom.llm import pretokens
-from recordloom.llm.common import Memo, texts, tokenizer_path
+from recordloom.llm.common import Memo, texts, tidy, tokenizer_path
 
-LIMIT = 1024
+LIMIT, LONG = 1024, 64
 
 
 def byte_chars() -> dict[str, int]:
@@ -71,14 +71,20 @@ class Counter:
         return len(self.model.tokenize("".join(map(self.write.__getitem__, pretoken.encode()))))
 
     def _piece(self, piece: str) -> int:
-        return sum([1 if x in self.whole else self.words[x] if len(x) <= 64 else self.merged(x) for x in pretokens.matches(piece)])
+        return sum([1 if x in self.whole else self.words[x] if len(x) <= LONG else self.merged(x) for x in pretokens.matches(piece)])
 
     def plain(self, text: str) -> int:
         if "  " in text:
-            return sum(map(self.first.__getitem__, pretokens.pieces(text)))
+            return sum(map(self._any, pretokens.pieces(text)))
         head, *rest = text.split(" ")
+        if len(head) > LONG or max(map(len, rest), default=0) > LONG:
+            return sum(map(self._any, pretokens.pieces(text)))
         return (self.first[head] if head else 0) + sum(map(self.later.__getitem__, rest))
 
+    def _any(self, piece: str) -> int:
+        """Long pieces are counted, but not remembered."""
+        return self.first[piece] if len(piece) <= LONG else self._piece(piece)
+
     def count(self, text: str) -> int:
         parts = [text]
         n = 0
@@ -103,4 +109,4 @@ def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: st
 
     import pyarrow.compute  # noqa: F401
 
-    return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return src.mapInArrow(tidy(each), f"id {src.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

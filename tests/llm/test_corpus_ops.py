@@ -70,14 +70,18 @@ def test_divide_skip_equals_counting():
         t = rng.randint(1, 8)
         want = sorted((d, n) for d, n in Counter(x for y in lists for x in y).items() if n >= t)
         assert jaccard_join.divide_skip(lists, t) == want
+        lists = lists * rng.randint(1, 3)
+        want = sorted((d, n) for d, n in Counter(x for y in lists for x in y).items() if n >= t)
+        begin = np.cumsum([0, *map(len, lists[:-1])])
+        assert jaccard_join.divide_skip(*jaccard_join.merged(np.array([x for y in lists for x in y]), begin)[:1], t, jaccard_join.merged(np.array([x for y in lists for x in y]), begin)[1]) == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_substring_dedup_equals_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "most"), [(2_000, 20_000), (1, 20_000), (3, 2)])
+def test_substring_dedup_equals_brute_force(spark, hot, most):
     texts = corpus(2)
     words = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
-    got = {r["id"]: r for r in substring_dedup.dedup(frame(spark, texts), hot=hot, digest=True).collect()}
+    got = {r["id"]: r for r in substring_dedup.dedup(frame(spark, texts), hot=hot, most=most, digest=True).collect()}
     assert len(got) == len(texts)
     for i, w in enumerate(words):
         keep = [True] * len(w)
@@ -109,7 +113,7 @@ def test_language_id_learns_and_leaves_out(spark):
 
 def test_language_id_tables_equal_plain_convolution():
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 64, (300, language_id.WINDOW)).astype(np.uint8)
+    rows = rng.integers(0, 256, (300, language_id.WINDOW)).astype(np.uint8)
     net = language_id.train(rows, rng.integers(0, 2, 300), ["a", "b"], epochs=1)
     pooled = []
     for parts in net.responses():
@@ -126,7 +130,7 @@ def test_itq_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
     rows = [*base, *(base[:60] + rng.normal(scale=0.05, size=(60, 16))), *(np.repeat(base[:1], 30, 0) + rng.normal(scale=0.02, size=(30, 16)))]
-    vectors = [list(map(float, v)) for v in rows] + [None, [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] * 16, [1.0, 2.0], [2.0, 4.0], vectors0 := list(map(float, base[0]))]
+    vectors = [list(map(float, v)) for v in rows] + [None, [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] * 16, [1.0, 2.0], [2.0, 4.0], [1.0, 2.0], [], vectors0 := list(map(float, base[0])), list(map(float, base[0])), [0.0] * 16]
     assert vectors0
     df = spark.createDataFrame([(i, v, None) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>, label int")
     want, comp = [0] * len(vectors), list(range(len(vectors)))
@@ -227,3 +231,55 @@ def test_empty_tables(spark):
     assert language_id.identify(none).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
     assert itq.links(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_passages_hold_every_recurring_window_once_and_automata_find_the_places(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(300):
+        words = [b"%d" % rng.randrange(rng.choice([1, 2, 3, 40])) for _ in range(150)]
+        texts = []
+        for _ in range(rng.randint(1, 8)):
+            t = []
+            while len(t) < rng.choice([20, 36, 80, 120]):
+                a = rng.randrange(150)
+                t += words[a : a + rng.randrange(1, 90)]
+            texts.append(b" ".join(t))
+        split = [t.split() for t in texts]
+        seen = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+        kinds = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        found = substring_dedup.passages(list(kinds), np.bincount([kinds[t] for t in texts]))
+        held = Counter(tuple(p[i : i + 35]) for p in found for i in range(len(p) - 34))
+        assert held == Counter({w: 1 for w, n in seen.items() if n > 1})
+        for w, spans in zip(split, substring_dedup.locate(texts), strict=True):
+            covered = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+            assert covered == {j for a, z in spans for j in range(a, z)}
+    monkeypatch.setattr(substring_dedup.Machine, "places", lambda self, words: [])
+    assert not any(substring_dedup.locate(texts * 2))
+
+
+def test_url_scores_equal_plain_markov_models(spark):
+    rng = random.Random(31)
+    urls = [f"http://{rng.choice(['good', 'fine'])}{rng.randrange(99)}.example.com/en/7{rng.randrange(99)}" for _ in range(60)]
+    urls += [f"http://spam{rng.randrange(99)}.other.com/en/{rng.randrange(99)}é" for _ in range(60)]
+    urls += ["http://unknown.org/x", "", "ab", urls[0], urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    held = {r["url"]: r["held"] for r in df.select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).collect()}
+    got = {r["id"]: r for r in url_filter.judge(df).collect()}
+    counts = [Counter(), Counter()]
+    for i, u in enumerate(urls):
+        if got[i]["rule"] and not held[u]:
+            x = bytes(4) + u.encode()
+            for j in range(4, len(x)):
+                for k in range(5):
+                    counts[got[i]["verdict"] == "block"].update([(k, x[j - k : j + 1]), (k, "in", x[j - k : j])])
+    for i, u in enumerate(urls):
+        x, total = bytes(4) + u.encode(), 0.0
+        for j in range(4, len(x)):
+            for c, sign in ((counts[0], 1), (counts[1], -1)):
+                p = 1 / 256
+                for k in range(5):
+                    p = (c[k, x[j - k : j + 1]] + 2 * p) / (c[k, "in", x[j - k : j]] + 2)
+                total += sign * np.log(p)
+        assert abs(got[i]["score"] - total / max(1, len(u.encode()))) < 1e-8
+    free = [r for r in got.values() if r["rule"] is None]
+    assert len({(r["score"] >= 0, r["verdict"]) for r in free if abs(r["score"]) > 1}) <= 2
