@@ -42,6 +42,7 @@ from recordloom.state.shared import materialise
 WINDOW, PHRASE, HOT, MOST = 35, 8, 2_000, 20_000
 SPAN = WINDOW - PHRASE + 1  # phrases of a window
 RUN = 256  # windows of a stretch
+SEEDS = np.int64((1 << 63) - 1)  # seeds have 63 bits; a mark is a seed and a bit for hot ones
 HELD = 8 << 20  # bytes of stretches that a shard holds at a time, but for one seed's
 
 
@@ -103,7 +104,7 @@ def _stretches(marked: DataFrame) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            k, t, marks, hot = b.column("k").to_numpy(), b.column("t").to_numpy(), b.column("marks"), b.column("hots")
+            k, t, marks = b.column("k").to_numpy(), b.column("t").to_numpy(), b.column("marks")
             for at, data in chunks(_encode(b.column("text"))):
                 w = Batch.of(data)
                 text, starts, least = _chosen(w)
@@ -111,10 +112,9 @@ def _stretches(marked: DataFrame) -> DataFrame:
                 heated = np.zeros(len(least), bool)
                 for i in range(len(data)):
                     a, z = w.first[i], w.first[i] + w.count[i]
-                    own = least[a:z].astype(np.int64)
-                    repeated[a:z] = np.isin(own, marks[at + i].values.to_numpy())
-                    if len(hot[at + i]):
-                        heated[a:z] = np.isin(own, hot[at + i].values.to_numpy())
+                    own, mark = least[a:z].astype(np.int64), marks[at + i].values.to_numpy()
+                    repeated[a:z] = np.isin(own, mark >> 1 & SEEDS)
+                    heated[a:z] = np.isin(own, mark[mark & 1 == 1] >> 1 & SEEDS)
                 repeated &= starts
                 heated &= repeated
                 if not repeated.any():
@@ -328,7 +328,7 @@ def repeated_spans(keyed: DataFrame, hot: int = HOT, most: int = MOST) -> DataFr
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = materialise(seeds(keyed), "seeds")
     again = own.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed", (F.col("n") > hot).alias("hot"))
-    marks = own.select("k", "t", "seed").join(again, "seed").groupBy("k", "t").agg(F.collect_set("seed").alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("seed"))).alias("hots"))
+    marks = own.select("k", "t", "seed").join(again, "seed").groupBy("k", "t").agg(F.collect_set(F.shiftleft("seed", 1) + F.col("hot").cast("int")).alias("marks"))
     marked = keyed.select("k", "t", "text").join(marks, ["k", "t"])
     rows = materialise(_stretches(marked), "stretches")
     located = rows.where("NOT hot").select("seed", "k", "t", "start", "words").repartition(parts, "seed").sortWithinPartitions("seed").mapInArrow(tidy(_shard), "k bigint, t bigint, a int, z int")
