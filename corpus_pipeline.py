@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.  Each is written
 as Parquet and read again before the next.
+
+Each stage holds the columns of ``documents`` only, so extra columns go and can't clash; null and repeated ids, ties and
+repeated rows have a defined result (below), an empty table gives an empty one, and a long text takes memory as the
+stage's operator says.
 """
 
 from __future__ import annotations
@@ -10,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import jaccard_join, language_id, packing, secrets, substring_dedup
-from recordloom.state.shared import materialise
+from recordloom.state.shared import Scratch, drop, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any language go (null, or without a letter); a null label becomes the prediction.
+    """Texts without any language go (null, or without a letter); a null label becomes the prediction.  Rows are independent, so repeated ones and ids, null ones too, stay as they are.
 
     Nothing goes by the prediction itself.  With nothing to learn from, texts with letters stay and null labels stay null.
     """
@@ -39,19 +43,19 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut; a document of which nothing is left goes."""
+    """Passages that occur more than once are cut, at all their places, so ties don't matter; a document of which nothing is left goes.  A null text stays null; rows of one id and text are places of their own."""
     marked = docs.select(*COLUMNS, F.col("text").isNotNull().alias("given"))
     out = substring_dedup.dedup(marked, keep=("lang", "source", "n_chars", "given")).where("text <> '' OR n_removed = 0")
     return out.select(F.col("id").alias("doc_id"), F.when(F.col("given"), F.col("text")).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark.  Rows are independent; a null text becomes empty."""
     return secrets.redact(docs.select(*COLUMNS), keep=("lang", "source", "n_chars")).select(F.col("id").alias("doc_id"), "text", "lang", "source", F.when(F.col("changed"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens.  Rows of one id are packed as documents of their own; a null text is empty."""
     return packing.pack(docs)
 
 
@@ -62,7 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with Scratch(spark) as scratch:  # what a stage wrote on its way goes when its result is written
+            docs = scratch.keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
