@@ -1,8 +1,8 @@
 """Field mapping: declarative specs compiled to column lists, so Catalyst sees the whole projection.
 
 A mapping is a whitelist: what no field names is dropped, and no fields give no columns.  Inbound, a field's value is
-its expression, else its path, else its source column; then default, value map and element fields apply in this
-order.  Outbound mirrors it without defaults.
+its expression, else its path, else its source column (null if there is none); then default, value map and element fields
+apply in this order.  Outbound mirrors it without defaults.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ class Field:
 
 
 STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
+NAME = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[A-Za-z_]\w*")
 
 
 def at_path(path: str, schema: T.StructType | None = None) -> Column:
@@ -81,48 +82,89 @@ def inverted(table: dict[str, str]) -> dict[str, str]:
     return {v: k for k, v in table.items()}
 
 
-def elements(array: Column, fields: Sequence[Field], inbound: bool = True) -> Column:
-    """Each struct of an array projected by ``fields``, recursively."""
+def rewritten(text: str, names: dict[str, str]) -> str:
+    """A SQL expression with its column names replaced; text in quotes, functions and struct fields stay."""
+    out, at = [], 0
+    for m in NAME.finditer(text):
+        word = m[0]
+        if word in names and not word.startswith(("'", '"')) and text[m.end() :].lstrip()[:1] != "(" and text[: m.start()].rstrip()[-1:] != ".":
+            out += [text[at : m.start()], names[word]]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def elements(array: str, fields: Sequence[Field], kind: T.DataType | None, inbound: bool = True, depth: int = 0) -> str:
+    """SQL for an array whose structs are mapped by ``fields``, each with all that a mapping has; other elements stay as they are."""
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+        return array
+    e, inner = f"e{depth}", kind.elementType
+    have = {n: f"{e}.`{n}`" for n in inner.fieldNames()}
+    done: dict[str, str] = {}
+    for f in fields:
+        if f.direction == ("reverse_only" if inbound else "forward_only"):
+            continue
+        source, name = (f.local, f.target) if inbound else (f.target, f.local)
+        text = f.expression if inbound else f.reverse_expression
+        if text:
+            value = f"({rewritten(text, have)})"
+        elif inbound and f.source_path:
+            head, *rest = [m[1] if m[1] else f"[{m[2]}]" for m in STEP.finditer(f.source_path)]
+            value = have.get(head, "CAST(NULL AS string)") + "".join(x if x[0] == "[" else f".`{x}`" for x in rest)
+        elif source not in have:
+            if not inbound or f.default is None and not f.default_expression:
+                continue
+            value = "NULL"
+        else:
+            value = have[source]
+        if inbound and f.default_expression:
+            value = f"coalesce({value}, {rewritten(f.default_expression, done)})"
+        elif inbound and f.default is not None:
+            value = f"coalesce({value}, {literal(f.default)})"
+        table = f.value_map if inbound else f.reverse_value_map if f.reverse_value_map is not None else inverted(f.value_map) if f.value_map else None
+        if table is not None:
+            pairs = ", ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in table.items())
+            other = f"CAST({value} AS string)" if f.fallback == "passthrough" else "NULL"
+            value = f"CASE CAST({value} AS string) {pairs} ELSE {other} END" if table else other
+        if f.element_fields and source in have:
+            value = elements(value, f.element_fields, inner[source].dataType, inbound, depth + 1)
+        done[name] = value
+    cols = ", ".join(f"{literal(n)}, {v}" for n, v in done.items())
+    return f"transform({array}, {e} -> IF({e} IS NULL, NULL, named_struct({cols})))"
 
-    def one(e: Column) -> Column:
-        cols = []
-        for f in fields:
-            have, name = (f.local, f.target) if inbound else (f.target, f.local)
-            v = e.getField(have)
-            cols.append((elements(v, f.element_fields, inbound) if f.element_fields else v).alias(name))
-        return F.struct(*cols)
 
-    return F.transform(array, one)
+def literal(value: object) -> str:
+    """A plain value as SQL."""
+    if isinstance(value, bool) or value is None:
+        return str(value).upper() if value is not None else "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
 
 
-def inbound_columns(fields: Sequence[Field], schema: T.StructType | None = None) -> list[tuple[str, Column]]:
-    out = []
-    for f in fields:
+def inbound(df: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
+    """The canonical rows of a source; ``keep`` columns (ids, timestamps) come along.
+
+    A missing value takes the field's default expression, which sees the fields before it in the list, else its default;
+    the value map comes after these, and an array's element fields last.
+    """
+    out, names = df, [f"_in{i}" for i in range(len(fields))]
+    done: dict[str, str] = {}
+    for f, name in zip(fields, names, strict=True):
         if f.direction == "reverse_only":
             continue
-        v = F.expr(f.expression) if f.expression else at_path(f.source_path, schema) if f.source_path else F.col(f"`{f.local}`")
-        if f.default is not None:
+        if not f.expression and not f.source_path and f.local not in df.columns:
+            v = F.lit(None).cast("string")
+        else:
+            v = F.expr(f.expression) if f.expression else at_path(f.source_path, df.schema) if f.source_path else F.col(f"`{f.local}`")
+        if f.default_expression:
+            v = F.coalesce(v, F.expr(rewritten(f.default_expression, done)))
+        elif f.default is not None:
             v = F.coalesce(v, F.lit(f.default))
         if f.value_map is not None:
             v = mapped(v, f.value_map, f.fallback)
+        out = out.withColumn(name, v)
         if f.element_fields:
-            v = elements(v, f.element_fields)
-        out.append((f.target, v))
-    return out
-
-
-def inbound(df: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
-    """The canonical rows of a source; ``keep`` columns (ids, timestamps) come along.
-
-    Default expressions see the fields before them in the list, so such a field starts a new projection.
-    """
-    todo = inbound_columns(fields, df.schema)
-    out = df.select(*keep, *(v.alias(name) for name, v in todo))
-    for f in fields:
-        if f.default_expression and f.direction != "reverse_only":
-            v = F.coalesce(f"`{f.target}`", F.expr(f.default_expression))
-            out = out.withColumn(f.target, mapped(v, f.value_map, f.fallback) if f.value_map is not None else v)
-    return out
+            out = out.withColumn(name, F.expr(elements(name, f.element_fields, out.schema[name].dataType)))
+        done[f.target] = name
+    return out.select(*keep, *(F.col(n).alias(t) for t, n in done.items()))
 
 
 def _nested(paths: dict[tuple[str, ...], Column]) -> list[Column]:
@@ -159,7 +201,7 @@ def outbound(df: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -
         if table is not None:
             v = mapped(v, table, f.fallback)
         if f.element_fields:
-            v = elements(v, f.element_fields, inbound=False)
+            v = F.expr(elements(f"`{f.target}`", f.element_fields, df.schema[f.target].dataType, inbound=False))
         if f.source_path and "[" in f.source_path:
             raise ValueError(f"{f.target}: a path with an index can't be written back")
         paths[tuple(f.source_path.split(".")) if f.source_path else (f.local,)] = v

@@ -44,23 +44,36 @@ def priority(policy: Policy, src: Column, name: Column) -> Column:
     return out
 
 
-def newer(p: str = "") -> Column:
+def newer() -> Column:
     """Last write wins: at equal times the incoming, unless the existing source is known to be older."""
     i, e = F.col("in_ts"), F.col("ex_ts")
     older = F.coalesce(F.col("ex_created") < F.col("in_created"), F.lit(False))
     return F.when(i > e, True).when(i < e, False).otherwise(~older)
 
 
-def earlier_origin() -> Column:
-    """The source that was there first; one without a creation time loses; else last write wins."""
+def earlier_origin(ties: bool = False) -> Column:
+    """The source that was there first; one without a creation time loses; else last write wins.  ties: equal creation times are for the incoming."""
     i, e = F.col("in_created"), F.col("ex_created")
-    return F.when(i.isNotNull() & e.isNotNull(), F.when(i != e, i < e).otherwise(F.col("in_ts") >= F.col("ex_ts"))).when(i.isNotNull(), True).when(e.isNotNull(), False).otherwise(F.col("in_ts") >= F.col("ex_ts"))
+    later = F.col("in_ts") >= F.col("ex_ts")
+    return F.when(i.isNotNull() & e.isNotNull(), F.when(i != e, i < e).otherwise(F.lit(True) if ties else later)).when(i.isNotNull(), True).when(e.isNotNull(), False).otherwise(later)
+
+
+def as_list(value: Column) -> Column:
+    """A collected value as an array: the text is a JSON array, else it is one value."""
+    found = F.from_json(value, "array<string>")
+    return F.when(value.startswith("[") & found.isNotNull(), found).otherwise(F.array(value))
 
 
 def decide(incoming: DataFrame, existing: DataFrame, policy: Policy) -> DataFrame:
-    """``(entity, field, val, accepted)`` of every incoming fact; a reducer or ``collect`` may change the value."""
-    i = incoming.select("entity", "field", F.col("val").alias("in_val"), F.col("ts").alias("in_ts"), F.col("src").alias("in_src"), F.col("created").alias("in_created"))
-    e = existing.select("entity", "field", F.col("val").alias("ex_val"), F.col("ts").alias("ex_ts"), F.col("src").alias("ex_src"), F.col("created").alias("ex_created"), F.lit(True).alias("known"))
+    """``(entity, field, val, accepted)`` of every incoming fact; a reducer or ``collect`` may change the value.
+
+    A field of a group is taken or refused with its whole group, and no other rule counts for it.  Of the others, a field
+    equal to the existing one after ``normalize`` (SQL over ``v``) is refused; then its reducer (SQL over ``incoming`` and
+    ``existing``) decides, else its own strategy, else its master, else the default strategy.  ``collect`` gives a JSON array
+    of different values in the order they came; null is a value.  A field that the entity lacks is taken.
+    """
+    i = incoming.select("entity", "field", F.col("val").alias("incoming"), F.col("ts").alias("in_ts"), F.col("src").alias("in_src"), F.col("created").alias("in_created"))
+    e = existing.select("entity", "field", F.col("val").alias("existing"), F.col("ts").alias("ex_ts"), F.col("src").alias("ex_src"), F.col("created").alias("ex_created"), F.lit(True).alias("known"))
     both = i.join(e, ["entity", "field"], "left")
     name = F.col("field")
     pi, pe = priority(policy, F.col("in_src"), name), priority(policy, F.col("ex_src"), name)
@@ -68,8 +81,8 @@ def decide(incoming: DataFrame, existing: DataFrame, policy: Policy) -> DataFram
         "last_modified": newer(),
         "origin_wins": earlier_origin(),
         "coalesce": F.when(pi != pe, pi < pe).otherwise(F.col("in_ts") >= F.col("ex_ts")),
-        "collect": ~F.coalesce(F.array_contains(F.split("ex_val", r"\|"), F.col("in_val")), F.lit(False)),
-        "bool_or": (F.lower("in_val") == "true") & ~F.coalesce(F.lower("ex_val") == "true", F.lit(False)),
+        "collect": F.lit(True),
+        "bool_or": (F.lower("incoming") == "true") & ~F.coalesce(F.lower("existing") == "true", F.lit(False)),
     }
     plan = _lookup(policy.strategies, name, F.lit(policy.default))
     chosen = F.lit(None).cast("boolean")
@@ -78,34 +91,53 @@ def decide(incoming: DataFrame, existing: DataFrame, policy: Policy) -> DataFram
     master = _lookup(policy.masters, name, F.lit(None).cast("string"))
     own = _lookup(policy.strategies, name, F.lit(None).cast("string")).isNotNull()
     chosen = F.when(~own & master.isNotNull(), master == F.col("in_src")).otherwise(chosen)
-    value = F.when(plan == "collect", F.concat_ws("|", "ex_val", "in_val")).otherwise(F.col("in_val"))
+    have = as_list(F.col("existing"))
+    collected = F.to_json(F.when(F.exists(have, lambda x: x.eqNullSafe(F.col("incoming"))), have).otherwise(F.array_append(have, F.col("incoming"))))
+    value = F.when(plan == "collect", collected).otherwise(F.col("incoming"))
     for f, text in policy.reducers.items():
-        reduced = F.expr(text.replace("incoming", "in_val").replace("existing", "ex_val"))
-        value = F.when((name == f) & F.col("known"), reduced).otherwise(value)
-        chosen = F.when((name == f) & F.col("known"), reduced.isNotNull()).otherwise(chosen)
+        value, chosen = F.when(name == f, F.expr(text)).otherwise(value), F.when(name == f, True).otherwise(chosen)
     for f, text in policy.normalize.items():
-        same = F.expr(text.replace("v", "in_val")).eqNullSafe(F.expr(text.replace("v", "ex_val")))
-        chosen = F.when((name == f) & F.col("known") & same, False).otherwise(chosen)
-    lost = _lost_groups(both, policy) if policy.groups else None
-    out = both.withColumn("accepted", F.when(F.col("known").isNull(), True).otherwise(chosen)).withColumn("val", F.when(F.col("known").isNull(), F.col("in_val")).otherwise(value))
-    if lost is not None:
-        out = out.withColumn("grp", _lookup(policy.groups, name, F.lit(None).cast("string"))).join(lost, ["entity", "grp"], "left").withColumn("accepted", F.when(F.col("lost"), False).otherwise(F.col("accepted")))
+        pair = F.expr(f"transform(array(incoming, existing), v -> {text})")  # v is bound as a name, whatever else the text holds
+        chosen = F.when((name == f) & F.get(pair, F.lit(0)).eqNullSafe(F.get(pair, F.lit(1))), False).otherwise(chosen)
+    known = F.col("known").isNotNull()
+    out = both.withColumns({"accepted": F.when(known, F.coalesce(chosen, F.lit(False))).otherwise(True), "val": F.when(known, value).otherwise(F.col("incoming"))})
+    if policy.groups:
+        group = _lookup(policy.groups, name, F.lit(None).cast("string"))
+        out = out.withColumn("grp", group).join(group_winners(i, e, policy), ["entity", "grp"], "left")
+        out = out.withColumns({"accepted": F.when(F.col("grp").isNotNull(), F.col("wins")).otherwise(F.col("accepted")), "val": F.when(F.col("grp").isNotNull(), F.col("incoming")).otherwise(F.col("val"))})
     return out.select("entity", "field", "val", "accepted")
 
 
-def _lost_groups(both: DataFrame, policy: Policy) -> DataFrame:
-    """Groups that the existing side keeps as a whole: its newest field is newer, or its best source ranks before."""
-    g = both.withColumn("grp", _lookup(policy.groups, F.col("field"), F.lit(None).cast("string"))).where("grp is not null")
+def group_winners(i: DataFrame, e: DataFrame, policy: Policy) -> DataFrame:
+    """``(entity, grp, wins)``: whether the incoming side takes a group.
+
+    The group's existing side is its newest field with that field's source (of equal times the least name): by origin that
+    source's creation time counts, equal ones being for the incoming; with priorities, the best priority that a side's
+    source has for any field of the group, else the source's own; else the newest times.  A group without existing fields
+    is the incoming's.
+    """
+    grp = _lookup(policy.groups, F.col("field"), F.lit(None).cast("string")).alias("grp")
+    new = i.select("*", grp).where("grp is not null").groupBy("entity", "grp").agg(F.max("in_ts").alias("in_ts"), F.min("in_src").alias("in_src"), F.min("in_created").alias("in_created"))
+    old = e.select("*", grp).where("grp is not null").groupBy("entity", "grp").agg(F.min_by(F.struct("ex_ts", "ex_src", "ex_created"), F.struct(-F.col("ex_ts"), F.col("field"))).alias("o")).select("entity", "grp", "o.*")
     if policy.default == "origin_wins":
-        agg = g.groupBy("entity", "grp").agg(F.max("in_ts").alias("in_ts"), F.max("ex_ts").alias("ex_ts"), F.min("in_created").alias("in_created"), F.min("ex_created").alias("ex_created"))
-        wins = F.when(F.col("in_created").isNotNull() & F.col("ex_created").isNotNull(), F.col("in_created") <= F.col("ex_created")).otherwise(earlier_origin())
+        wins = earlier_origin(ties=True)
+    elif policy.priorities:
+        best: dict[tuple[str, str], int] = {}
+        for (src, field), n in policy.field_priorities.items():
+            if field in policy.groups:
+                key = (src, policy.groups[field])
+                best[key] = min(n, best.get(key, n))
+
+        def rank(src: str) -> Column:
+            out = _lookup(policy.priorities, F.col(src), F.lit(FAR))
+            for (s, g), n in best.items():
+                out = F.when((F.col(src) == s) & (F.col("grp") == g), F.lit(n)).otherwise(out)
+            return out
+
+        wins = F.when(rank("in_src") != rank("ex_src"), rank("in_src") < rank("ex_src")).otherwise(F.col("in_ts") >= F.col("ex_ts"))
     else:
-        pi, pe = priority(policy, F.col("in_src"), F.col("field")), priority(policy, F.col("ex_src"), F.col("field"))
-        agg = g.groupBy("entity", "grp").agg(F.max("in_ts").alias("in_ts"), F.max("ex_ts").alias("ex_ts"), F.min(pi).alias("pi"), F.min(F.when(F.col("known"), pe)).alias("pe"))
-        wins = F.when(F.col("pi") != F.col("pe"), F.col("pi") < F.col("pe")) if policy.priorities else None
-        newest = F.col("in_ts") >= F.col("ex_ts")
-        wins = F.coalesce(wins, newest) if wins is not None else newest
-    return agg.select("entity", "grp", (F.col("ex_ts").isNotNull() & ~wins).alias("lost"))
+        wins = F.col("in_ts") >= F.col("ex_ts")
+    return new.join(old, ["entity", "grp"], "left").select("entity", "grp", F.when(F.col("ex_ts").isNull(), True).otherwise(wins).alias("wins"))
 
 
 def golden(facts: DataFrame, order: Column, largest: bool = True) -> DataFrame:
@@ -136,9 +168,10 @@ def by_origin(facts: DataFrame) -> DataFrame:
     return golden(facts, F.struct(F.coalesce("created", F.lit(FAR)), -F.col("ts"), F.col("src")), largest=False)
 
 
-def collected(facts: DataFrame, sep: str = "|") -> DataFrame:
-    """All different values of a field, sorted and joined."""
-    return facts.where("val is not null").groupBy("entity", "field").agg(F.array_join(F.array_sort(F.collect_set("val")), sep).alias("val"))
+def collected(facts: DataFrame) -> DataFrame:
+    """All different values of a field as an array, in the order they first came; one row for each value is shuffled."""
+    first = facts.groupBy("entity", "field", "val").agg(F.min(F.struct("ts", "src")).alias("at"))
+    return first.groupBy("entity", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "val"))), lambda x: x["val"]).alias("val"))
 
 
 def any_true(facts: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ def resolve_origin_wins(s):
     return R.by_origin(s["facts"]).select("entity", "field", "val")
 
 
-@query("SELECT entity, field, string_agg(DISTINCT val, '|' ORDER BY val) AS val FROM facts WHERE val IS NOT NULL GROUP BY entity, field", "facts")
+@query("SELECT entity, field, string_agg(coalesce(val, '-'), '|' ORDER BY o) AS vals FROM (SELECT entity, field, val, min((ts, src)) AS o FROM facts GROUP BY entity, field, val) GROUP BY entity, field", "facts")
 def resolve_collect(s):
-    return R.collected(s["facts"])
+    return R.collected(s["facts"]).select("entity", "field", F.array_join("val", "|", "-").alias("vals"))
 
 
 @query("SELECT 'u' || user_id AS entity, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY user_id")
@@ -73,11 +73,41 @@ def resolve_reducer(s):
     return rows.select("entity", "field", "val")
 
 
-@query(f"SELECT p.entity, p.field, CASE WHEN g.lost THEN false WHEN known IS NULL THEN true ELSE its > ets OR (its = ets AND NOT ec < ic) END AS accepted FROM ({PAIR}) p LEFT JOIN (SELECT entity, max(ets) IS NOT NULL AND max(its) < max(ets) AS lost FROM ({PAIR}) WHERE field IN ('balance', 'segment') GROUP BY entity) g ON g.entity = p.entity AND p.field IN ('balance', 'segment')", "facts")
+GROUPS = {"balance": "money", "segment": "money"}
+#: Of each group: the newest times of both sides, and the source and creation time of the newest existing field.
+SIDES = """SELECT i.entity, i.its, i.ic, o.ets, o.ec, o.entity IS NULL AS alone FROM
+(SELECT entity, max(ts) AS its, min(created) AS ic FROM facts WHERE src = 'erp' AND field IN ('balance', 'segment') GROUP BY entity) i LEFT JOIN
+(SELECT entity, arg_min(ts, (-ts, field)) AS ets, arg_min(created, (-ts, field)) AS ec FROM facts WHERE src = 'crm' AND field IN ('balance', 'segment') GROUP BY entity) o ON o.entity = i.entity"""
+GROUPED = "SELECT p.entity, p.field, CASE WHEN p.field IN ('balance', 'segment') THEN g.alone OR {wins} WHEN known IS NULL THEN true ELSE {single} END AS accepted FROM ({pair}) p LEFT JOIN ({sides}) g ON g.entity = p.entity"
+NEWER = "p.its > p.ets OR (p.its = p.ets AND NOT p.ec < p.ic)"
+
+
+@query(GROUPED.format(wins="g.its >= g.ets", single=NEWER, pair=PAIR, sides=SIDES), "facts")
 def resolve_group_atomic(s):
-    return _decide(s, R.Policy(groups={"balance": "money", "segment": "money"})).select("entity", "field", "accepted")
+    return _decide(s, R.Policy(groups=GROUPS)).select("entity", "field", "accepted")
+
+
+@query(GROUPED.format(wins="g.ic <= g.ec", single="CASE WHEN p.ic <> p.ec THEN p.ic < p.ec ELSE p.its >= p.ets END", pair=PAIR, sides=SIDES), "facts")
+def resolve_group_origin(s):
+    return _decide(s, R.Policy(default="origin_wins", groups=GROUPS)).select("entity", "field", "accepted")
+
+
+@query(GROUPED.format(wins="true", single=NEWER, pair=PAIR, sides=SIDES), "facts")
+def resolve_group_priority(s):
+    """The incoming source ranks last, but for one field of the group."""
+    return _decide(s, R.Policy(groups=GROUPS, priorities={"crm": 2, "erp": 3}, field_priorities={("erp", "segment"): 1})).select("entity", "field", "accepted")
+
+
+@query(f"SELECT entity, field, CASE WHEN known IS NULL THEN true WHEN field = 'segment' THEN false ELSE its > ets OR (its = ets AND NOT ec < ic) END AS accepted FROM ({PAIR})", "facts")
+def resolve_coalesce_decision(s):
+    return _decide(s, R.Policy(strategies={"segment": "coalesce"}, priorities={"crm": 1, "erp": 2})).select("entity", "field", "accepted")
 
 
 @query(f"SELECT entity, field, CASE WHEN known IS NULL THEN true WHEN field = 'name' AND lower(iv) IS NOT DISTINCT FROM lower(ev) THEN false ELSE its > ets OR (its = ets AND NOT ec < ic) END AS accepted FROM ({PAIR})", "facts")
 def normalize_guard(s):
     return _decide(s, R.Policy(normalize={"name": "lower(v)"})).select("entity", "field", "accepted")
+
+
+@query(f"SELECT entity, field, CASE WHEN known IS NULL THEN iv WHEN iv IS NOT DISTINCT FROM ev THEN '[' || coalesce('\"' || ev || '\"', 'null') || ']' ELSE '[' || coalesce('\"' || ev || '\"', 'null') || ',' || coalesce('\"' || iv || '\"', 'null') || ']' END AS val FROM ({PAIR})", "facts")
+def resolve_collect_decision(s):
+    return _decide(s, R.Policy(default="collect")).select("entity", "field", "val")
