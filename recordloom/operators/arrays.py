@@ -3,47 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordloom.operators import delta
+from recordloom.state.shared import materialise
 
 NAMESPACE = "recordloom-child"
 
 
-def expand(df: DataFrame, id_col: str, array: str, key: str | None = None, parent: Sequence[str] = (), where: Callable | None = None, scalar: bool = False) -> DataFrame:
+def parsed(df: DataFrame, array: str, schema: str | None) -> DataFrame:
+    """An array held as JSON text as an array; other text and other types than arrays are null."""
+    kind = df.schema[array].dataType
+    if isinstance(kind, T.ArrayType):
+        return df
+    if isinstance(kind, T.StringType) and schema is not None:
+        return df.withColumn(array, F.when(F.ltrim(array).startswith("["), F.from_json(array, schema)))
+    return df.withColumn(array, F.lit(None).cast(schema or "array<string>"))
+
+
+def _key(key: str | None, element_id: str | None) -> Column:
+    """An element's own id, else its key field, else its position."""
+    own = [F.col(f"element.{c}").cast("string") for c in (element_id, key) if c]
+    return F.coalesce(*own, F.col("ordinal").cast("string"))
+
+
+def expand(df: DataFrame, id_col: str, array: str, key: str | None = None, parent: Sequence[str] = (), where: Callable | None = None, scalar: bool = False, lift: dict[str, Column] | None = None, element_id: str | None = None, schema: str | None = None, pass_through: bool = False) -> DataFrame:
     """One row for each element: ``(id, parent_id, elem_key, ordinal, <parent fields>, element)``.
 
-    The child's id is ``<parent>#<array>[<key>]``; the key is the element's key field, else its position.  where:
-    ``(element, index)`` to a condition, applied before the rows are made.  scalar: elements are plain values, null
-    ones go, and equal ones are one child.
+    The child's id is ``<parent>#<array>[<key>]``; the key is the element's own id (``element_id``), else its key field, else
+    its position.  where: ``(element, index)`` to a condition, applied before the rows are made, in which ``F.col`` is the
+    parent's.  lift: parent values as fields of the element, unless it has a field of that name.  scalar: elements are plain
+    values, and equal ones are one child.  Null elements go.  schema: the type of an array held as JSON text.  pass_through:
+    a record without an array stays as a row of its own; otherwise it gives none, as an empty array does.
     """
+    df = parsed(df, array, schema)
     items = F.transform(F.col(array), lambda e, i: F.struct(i.alias("ordinal"), e.alias("element")))
-    if where is not None:
-        items = F.filter(items, lambda x: where(x["element"], x["ordinal"]))
-    rows = df.select(F.col(id_col).alias("parent_id"), *parent, F.inline(items))
-    if scalar:
-        rows = rows.where("element is not null")
-    k = F.col("element").cast("string") if scalar else F.coalesce(F.col(f"element.{key}").cast("string"), F.col("ordinal").cast("string")) if key else F.col("ordinal").cast("string")
-    rows = rows.withColumn("elem_key", k).withColumn("id", F.concat("parent_id", F.lit(f"#{array}["), "elem_key", F.lit("]")))
+    items = F.filter(items, lambda x: x["element"].isNotNull() & (where(x["element"], x["ordinal"]) if where is not None else F.lit(True)))
+    names = {} if not lift or scalar else {n: c for n, c in lift.items() if n not in df.schema[array].dataType.elementType.fieldNames()}
+    src = df.select(F.col(id_col).alias("parent_id"), *parent, *(c.alias(f"_lift_{n}") for n, c in names.items()), F.col(array).isNull().alias("_flat"), items.alias("_items"))
+    rows = src.select("parent_id", *parent, *(f"_lift_{n}" for n in names), F.inline("_items"))
+    if names:
+        rows = rows.withColumn("element", F.struct("element.*", *(F.col(f"_lift_{n}").alias(n) for n in names)))
+    rows = rows.withColumn("elem_key", F.col("element").cast("string") if scalar else _key(key, element_id)).withColumn("id", F.concat("parent_id", F.lit(f"#{array}["), "elem_key", F.lit("]")))
     if scalar:
         rest = [c for c in rows.columns if c not in ("id", "ordinal")]
         rows = rows.groupBy("id").agg(F.min("ordinal").alias("ordinal"), *(F.min_by(c, "ordinal").alias(c) for c in rest))
-    return rows.select("id", "parent_id", "elem_key", "ordinal", *parent, "element")
+    rows = rows.select("id", "parent_id", "elem_key", "ordinal", *parent, "element")
+    if pass_through:
+        none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        rows = rows.unionByName(src.where("_flat").select(F.col("parent_id").cast("string").alias("id"), none("parent_id"), none("elem_key"), none("ordinal"), *parent, none("element")))
+    return rows
 
 
-def expand_chain(df: DataFrame, id_col: str, hops: Sequence[tuple[str, str | None]]) -> DataFrame:
-    """Nested arrays over several hops; ids concatenate, and each hop's key stays as ``key_<n>``."""
-    out = df.select(F.col(id_col).alias("id"), F.col(hops[0][0]).alias("items"))
+def expand_chain(df: DataFrame, id_col: str, hops: Sequence[tuple[str, str | None]], where: Callable | None = None) -> DataFrame:
+    """Nested arrays over several hops; ids concatenate, and each hop's key stays as ``key_<n>``.  where: as for :func:`expand`, for the last hop's elements only."""
+    out = df.select(F.col(id_col).cast("string").alias("id"), F.col(hops[0][0]).alias("items"))
     keys: list[str] = []
     for n, (array, key) in enumerate(hops):
-        rows = out.select("id", *keys, F.posexplode("items").alias("ordinal", "element"))
-        k = F.coalesce(F.col(f"element.{key}").cast("string"), F.col("ordinal").cast("string")) if key else F.col("ordinal").cast("string")
-        out = rows.withColumn(f"key_{n}", k).withColumn("id", F.concat("id", F.lit(f"#{array}["), k, F.lit("]")))
+        rows = out.select("id", *keys, F.posexplode("items").alias("ordinal", "element")).where("element IS NOT NULL")
+        if where is not None and n + 1 == len(hops):
+            rows = rows.where(where(F.col("element"), F.col("ordinal")))
+        rows = rows.withColumn(f"key_{n}", _key(key, None))
+        out = rows.withColumn("parent_id", F.col("id")).withColumn("id", F.concat("id", F.lit(f"#{array}["), f"key_{n}", F.lit("]")))
         keys.append(f"key_{n}")
         if n + 1 < len(hops):
             out = out.select("id", *keys, F.col(f"element.{hops[n + 1][0]}").alias("items"))
-    return out.select("id", *keys, "ordinal", "element")
+    return out.select("id", "parent_id", *keys, "ordinal", "element")
 
 
 def child_uuid(parent: Column, path: str, key: Column) -> Column:
@@ -58,28 +88,106 @@ def parent_map(children: DataFrame, path: str) -> DataFrame:
     return children.select(F.col("id").alias("child_id"), "parent_id", F.lit(path).alias("array_path"), F.col("elem_key").alias("element_key"))
 
 
-def rebuild(children: DataFrame, parent: str, order: Sequence[Column], fields: Sequence[str]) -> DataFrame:
-    """``(parent, items)``: children as an array of structs, in the order given."""
+def parent_maps(df: DataFrame, id_col: str, hops: Sequence[tuple[str, str | None]]) -> DataFrame:
+    """The parent map of every hop of a chain."""
+    parts = [expand_chain(df, id_col, hops[: n + 1]).select(F.col("id").alias("child_id"), "parent_id", F.lit(array).alias("array_path"), F.col(f"key_{n}").alias("element_key")) for n, (array, _) in enumerate(hops)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def changed_parents(parents: DataFrame, state: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Parents that are new or differ from the state: an unchanged one is left out before its children are made."""
+    return parents.join(delta.unchanged(parents, state, key, fields), key, "left_anti")
+
+
+def absent_elements(before: DataFrame, now: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For children that are gone: ``(connector, external_id)`` to delete in every member that has them, and ``(parent_id)`` to rebuild.
+
+    ``before`` and ``now`` are ``(id, parent_id)``; links are ``(canonical_id, connector, external_id)`` with the children's ids.
+    """
+    gone = before.select("id", "parent_id").join(now.select("id"), "id", "left_anti")
+    canon = links.join(gone.select(F.col("id").alias("external_id")), "external_id", "left_semi").select("canonical_id").distinct()
+    return links.join(canon, "canonical_id", "left_semi").select("connector", "external_id"), gone.select("parent_id").distinct()
+
+
+def walk_up(ids: DataFrame, parents: DataFrame, linked: DataFrame, depth: int = 16) -> DataFrame:
+    """``(child_id, root_id)``: the nearest ancestor, or the child itself, that ``linked`` has; children without one are left out.
+
+    ``ids`` and ``linked`` are ``(id)``, parents ``(child_id, parent_id)``.  It stops when no child is left on its way.
+    """
+    there = linked.select(F.col("id").alias("at"), F.lit(True).alias("found"))
+    open_, done = ids.select(F.col("id").alias("child_id"), F.col("id").alias("at")), None
+    for _ in range(depth + 1):
+        marked = materialise(open_.join(there, "at", "left"), "walk")
+        hit = marked.where("found").select("child_id", F.col("at").alias("root_id"))
+        done = hit if done is None else done.unionByName(hit)
+        rest = marked.where("found IS NULL")
+        if rest.isEmpty():
+            break
+        open_ = rest.select("child_id", F.col("at").alias("here")).join(parents.select(F.col("child_id").alias("here"), F.col("parent_id").alias("at")), "here").select("child_id", "at")
+    return done
+
+
+def rebuild(children: DataFrame, parent: str, order: Sequence[Column], fields: Sequence[str], where: str | None = None, parents: DataFrame | None = None) -> DataFrame:
+    """``(parent, items)``: children as an array of structs, in the order given; one row for each parent.
+
+    where: the reverse filter of elements.  parents: those to rebuild, of which one without children gets an empty array.
+    """
+    if parents is not None:
+        children = children.join(parents.select(parent).distinct(), parent, "left_semi")
     entry = F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))
-    return children.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias("items"))
+    out = (children if where is None else children.where(where)).groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["v"]).alias("items"))
+    if parents is None:
+        return out
+    return parents.select(parent).distinct().join(out, parent, "left").withColumn("items", F.coalesce("items", F.array().cast(out.schema["items"].dataType)))
+
+
+def rebuild_scalars(children: DataFrame, parent: str, value: str, order: Sequence[Column], where: str | None = None) -> DataFrame:
+    """``(parent, items)``: plain values, each once, by the least order it has."""
+    once = (children if where is None else children.where(where)).groupBy(parent, value).agg(F.min(F.struct(*order)).alias("o"))
+    return once.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias("items"))
 
 
-def patch(df: DataFrame, array: str, key: str, patches: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """Elements with a patch of their key take its non-null fields; others stay, and no element is added.
+def allowed_patches(patches: DataFrame, masters: dict[str, str]) -> DataFrame:
+    """Patches ``(..., field, val, src)`` of fields without a master, or by their master."""
+    keep = F.lit(True)
+    for f, src in masters.items():
+        keep = keep & ((F.col("field") != f) | (F.col("src") == src))
+    return patches.where(keep)
 
-    ``patches``: ``(id, key, <fields>)`` with one row for each element.
+
+def gathered(patches: DataFrame, root: Sequence[str], keys: Sequence[str], order: Column) -> DataFrame:
+    """``(*root, patches)``: a map of keys, joined by a control character, to a map of fields and their last values, null ones too."""
+    last = patches.groupBy(*root, *keys, "field").agg(F.max_by("val", order).alias("val"))
+    by_element = last.groupBy(*root, *keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "val"))).alias("set"))
+    return by_element.groupBy(*root).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x01", *keys), "set"))).alias("patches"))
+
+
+def patch(df: DataFrame, id_col: str, hops: Sequence[tuple[str, str]], patches: DataFrame) -> DataFrame:
+    """Elements of nested arrays with the fields of their patches; one write for each root.
+
+    hops: ``(array, key)`` from the root down; patches: ``(id_col, patches)`` as :func:`gathered` makes them.  A field that a
+    patch names is replaced, by null too; other fields, elements and roots stay, and no element is added.
     """
-    by_parent = patches.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*fields)))).alias("_patches"))
-    joined = df.join(by_parent, id_col, "left")
+    array = hops[0][0]
+    joined = df.join(patches.select(id_col, F.col("patches").alias("_patches")), id_col, "left")
+
+    def level(items: Column, at: int, before: Column | None, kind: T.DataType) -> Column:
+        name, inner = hops[at][1], kind.elementType
+
+        def one(e: Column) -> Column:
+            key = e[name].cast("string") if before is None else F.concat_ws("\x01", before, e[name].cast("string"))
+            if at + 1 < len(hops):
+                below = hops[at + 1][0]
+                return F.when(e.isNotNull(), e.withField(below, level(e[below], at + 1, key, inner[below].dataType)))
+            new, out = F.try_element_at("_patches", key), e
+            for f in inner.fields:
+                out = out.withField(f.name, F.when(F.map_contains_key(new, F.lit(f.name)), F.try_element_at(new, F.lit(f.name)).cast(f.dataType)).otherwise(e[f.name]))
+            return F.when(new.isNull(), e).otherwise(out)
 
-    def one(e: Column) -> Column:
-        p = F.try_element_at(F.col("_patches"), e[key])
-        out = e
-        for f in fields:
-            out = out.withField(f, F.coalesce(p[f], e[f]))
-        return F.when(p.isNull(), e).otherwise(out)
+        return F.transform(items, one)
 
-    return joined.withColumn(array, F.when(F.col("_patches").isNull(), F.col(array)).otherwise(F.transform(F.col(array), one))).drop("_patches")
+    new = level(F.col(array), 0, None, df.schema[array].dataType)
+    return joined.withColumn(array, F.when(F.col("_patches").isNull(), F.col(array)).otherwise(new)).select(*df.columns)
 
 
 def element_set(patches: DataFrame, parent: str, key: str, rank: Column) -> DataFrame:
@@ -88,16 +196,16 @@ def element_set(patches: DataFrame, parent: str, key: str, rank: Column) -> Data
 
 
 def ordered(array: Column, spec: Sequence[tuple[str, bool]]) -> Column:
-    """Structs sorted by ``(field, ascending)``: as numbers where both are, else as text; missing last; stable."""
+    """Structs sorted by ``(field, ascending)``: as numbers where both are, else as text, a missing one as empty; stable."""
 
     def compare(a: Column, b: Column) -> Column:
         out = F.lit(0)
         for name, up in reversed(spec):
-            x, y = a["e"][name].cast("string"), b["e"][name].cast("string")
+            x, y = (F.coalesce(r["e"][name].cast("string"), F.lit("")) for r in (a, b))
             nx, ny = x.try_cast("double"), y.try_cast("double")
             less = F.when(nx.isNotNull() & ny.isNotNull(), nx < ny).otherwise(x < y)
             more = F.when(nx.isNotNull() & ny.isNotNull(), nx > ny).otherwise(x > y)
-            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), F.lit(1)).when(y.isNull(), F.lit(-1)).when(less, F.lit(-1 if up else 1)).when(more, F.lit(1 if up else -1)).otherwise(out)
+            out = F.when(less, F.lit(-1 if up else 1)).when(more, F.lit(1 if up else -1)).otherwise(out)
         return F.when(out != 0, out).when(a["i"] < b["i"], F.lit(-1)).when(a["i"] > b["i"], F.lit(1)).otherwise(F.lit(0))
 
     numbered = F.transform(array, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
@@ -115,34 +223,28 @@ def neighbours(array: Column, key: str) -> Column:
     return F.transform(array, lambda e, i: e.withField("_ordinal", i).withField("_prev", F.get(array, i - 1)[key]).withField("_next", F.get(array, i + 1)[key]))
 
 
-def linked_list(df: DataFrame, id_col: str, array: str, key: str = "key", before: str = "prev") -> DataFrame:
-    """``(id, items)``: keys of an array's structs in list order, following who comes before whom.
+def linked_list(df: DataFrame, id_col: str, array: str, key: str = "key", before: str = "prev", after: str = "next") -> DataFrame:
+    """``(id, items)``: keys of an array's structs in list order.
 
-    Elements whose predecessor is missing begin a run, in the array's order; elements on a cycle are appended as they
-    stand.  The walk is inherently serial within an array, so it runs in Arrow batches, one array at a time.
+    The first element whose predecessor is missing is the head (the first of all if there is none); from there the list
+    follows who comes next, until that is missing or met before.  Elements that are not reached follow as they stand, and
+    null keys go.  The walk is serial within an array, so it runs in Arrow batches, one array at a time.
     """
 
-    def walk(items) -> list:
-        have = {e[key] for e in items}
-        after: dict = {}
-        heads = []
-        for e in items:
-            p = e[before]
-            (after.setdefault(p, []) if p is not None and p in have else heads).append(e[key])
-        out, seen = [], set()
-        stack = heads[::-1]
-        while stack:
-            k = stack.pop()
-            if k in seen:
-                continue
-            seen.add(k)
-            out.append(k)
-            stack += after.get(k, [])[::-1]
-        return out + [e[key] for e in items if e[key] not in seen]
+    def walk(keys: list, prev: list, nxt: list) -> list[str]:
+        follows = {k: (p, n) for k, p, n in zip(keys, prev, nxt, strict=True) if k is not None}
+        at = next((k for k, (p, _) in follows.items() if p is None or p not in follows), next(iter(follows), None))
+        out: dict = {}
+        while at in follows and at not in out:
+            out[at] = None
+            at = follows[at][1]
+        return list(out | dict.fromkeys(follows))
 
     def each(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if x is None else [str(k) for k in walk(x)] for x in b.column("items").to_pylist()], pa.list_(pa.string()))], ["id", "items"])
+            cols = (b.column(c).to_pylist() for c in ("k", "p", "n"))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([None if k is None else walk(k, p, n) for k, p, n in zip(*cols, strict=True)], pa.list_(pa.string()))], ["id", "items"])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(array).alias("items"))
+    text = lambda c: F.transform(array, lambda e: e[c].cast("string"))
+    src = df.select(F.col(id_col).alias("id"), text(key).alias("k"), text(before).alias("p"), text(after).alias("n"))
     return src.mapInArrow(each, f"id {src.schema['id'].dataType.simpleString()}, items array<string>")

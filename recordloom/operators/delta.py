@@ -35,6 +35,17 @@ def unchanged(incoming: DataFrame, state: DataFrame, key: str, fields: Sequence[
     return classify(incoming, state, key, fields).where("action = 'skip'").select(key)
 
 
+def not_echoes(incoming: DataFrame, state: DataFrame, key: str, fields: Sequence[str], again: DataFrame | None = None) -> DataFrame:
+    """Incoming rows that differ from the state, and those to try ``again`` although they don't."""
+    echoes = unchanged(incoming, state, key, fields)
+    return incoming.join(echoes if again is None else echoes.join(again.select(key), key, "left_anti"), key, "left_anti")
+
+
+def guarded(rows: DataFrame, resolved: str, target_id: str) -> DataFrame:
+    """``action``: a record the target lacks is inserted, even without fields; one with nothing resolved is a skip; others are updates."""
+    return rows.withColumn("action", F.when(F.col(target_id).isNull(), "insert").when(F.size(resolved) == 0, "skip").otherwise("update"))
+
+
 def changed_fields(incoming: DataFrame, state: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``(key, field, before, after)`` of every field that differs."""
     old = state.select(key, *(F.col(f).cast("string").alias(f"old_{f}") for f in fields))

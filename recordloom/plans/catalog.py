@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from recordloom.plans import delta_queries, identity_queries, mapping_queries, resolve_queries  # noqa: F401
+from recordloom.plans import array_queries, delta_queries, identity_queries, mapping_queries, resolve_queries, state_queries  # noqa: F401
 from recordloom.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recordloom.operators import arrays, assoc, delta, stats
+from recordloom.operators import arrays, assoc, delta, state_joins, stats
 from recordloom.plans.registry import query
 from recordloom.sources import writers
 
@@ -36,8 +36,8 @@ def written_noop(s):
 
 @query("SELECT external_id, k % 10 = 0 AS changed, balance + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS balance FROM crm WHERE k % 17 <> 0", "crm")
 def join_shadow(s):
-    old = s["crm"].select("external_id", F.col("balance").alias("was"))
-    return s["crm_t1"].join(old, "external_id", "left").select("external_id", (F.col("balance") != F.col("was")).alias("changed"), "balance")
+    rows = state_joins.with_shadow(s["crm_t1"], s["crm"], "external_id", ["balance"])
+    return rows.select("external_id", (F.col("balance") != F.col("was_balance")).alias("changed"), "balance")
 
 
 @query("SELECT external_id FROM crm WHERE k % 17 = 0", "crm")
@@ -45,9 +45,12 @@ def snapshot_absence(s):
     return delta.snapshot_deletes(s["crm"], s["crm_t1"], "external_id")
 
 
-@query("SELECT count(*) AS n_known, count(*) FILTER (k % 17 = 0) AS n_missing, count(*) FILTER (k % 17 = 0) / count(*) AS ratio, false AS tripped FROM crm", "crm")
+@query("SELECT nation % 3 AS part, count(*) AS n_known, count(*) FILTER (NOT kept) AS n_missing, count(*) FILTER (NOT kept) / count(*) AS ratio, count(*) FILTER (NOT kept) / count(*) > 0.5 AS tripped FROM (SELECT *, CASE nation % 3 WHEN 0 THEN k % 17 <> 0 WHEN 1 THEN k % 5 = 0 ELSE false END AS kept FROM crm) GROUP BY nation % 3", "crm")
 def snapshot_guard(s):
-    return delta.absence_guard(s["crm"], s["crm_t1"], "external_id")
+    """A few rows missing, most missing, and all missing."""
+    kept = ("k % 17 <> 0", "k % 5 = 0", "false")
+    rows = [delta.absence_guard(s["crm"].where(f"nation % 3 = {i}"), s["crm"].where(f"nation % 3 = {i} AND {w}"), "external_id").withColumn("part", F.lit(i)) for i, w in enumerate(kept)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT i.connector, i.external_id FROM ids i WHERE i.connector <> 'crm' AND i.canonical_id IN (SELECT 'c' || k FROM crm WHERE k % 17 = 0)", "ids")
@@ -62,10 +65,12 @@ def resurrection(s):
     return delta.classify(s["crm_t1"], state, "external_id", FIELDS, tombstone="deleted_at")
 
 
-@query("SELECT l_orderkey AS order_id, true AS same FROM lines GROUP BY l_orderkey", "lines")
+@query("SELECT l_orderkey AS order_id, count(*) FILTER (line_no = 2 AND l_orderkey % 3 = 0) = 0 AS same, count(*) < 2 AND count(*) FILTER (line_no = 2 AND l_orderkey % 3 = 0) = 0 AS same_order FROM lines GROUP BY l_orderkey", "lines")
 def unordered_array_diff(s):
-    rows = s.nested_orders().withColumn("turned", F.reverse("lines"))
-    return rows.select("order_id", (delta.unordered(F.col("lines")) == delta.unordered(F.col("turned"))).alias("same"))
+    """Arrays turned around, and every third changed in its second element."""
+    other = F.transform("lines", lambda e: F.when((F.col("order_id") % 3 == 0) & (e["line_no"] == 2), e.withField("sku", e["sku"] + 1)).otherwise(e))
+    rows = s.nested_orders().withColumn("turned", F.reverse(other))
+    return rows.select("order_id", (delta.unordered(F.col("lines")) == delta.unordered(F.col("turned"))).alias("same"), (F.col("lines") == F.col("turned")).alias("same_order"))
 
 
 @query("SELECT n.external_id, 'balance' AS field, o.k AS k FROM crm_t1 n JOIN crm o ON n.external_id = o.external_id WHERE n.balance <> o.balance", "crm_t1")
@@ -131,7 +136,8 @@ def array_element_absence(s):
 @query("SELECT l_orderkey AS order_id, cast(sum(CASE WHEN line_no = 1 THEN 100 ELSE l_quantity END) AS double) AS total, count(*) AS n FROM lines GROUP BY l_orderkey", "lines")
 def array_collapse_patch(s):
     patches = s["lines"].where("line_no = 1").select(F.col("l_orderkey").alias("order_id"), "line_no", F.lit(100.0).alias("qty"))
-    rows = arrays.patch(s.nested_orders(), "lines", "line_no", patches, "order_id", ["qty"])
+    patches = arrays.gathered(patches.select("order_id", "line_no", F.lit("qty").alias("field"), F.col("qty").cast("string").alias("val")), ["order_id"], ["line_no"], F.lit(0))
+    rows = arrays.patch(s.nested_orders(), "order_id", [("lines", "line_no")], patches)
     return rows.select("order_id", F.aggregate("lines.qty", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("lines").cast("bigint").alias("n"))
 
 
@@ -161,7 +167,8 @@ def order_crdt_ordinal(s):
 
 @query("SELECT l_orderkey AS order_id, string_agg(line_no::varchar, ',' ORDER BY line_no) AS lines FROM lines GROUP BY l_orderkey", "lines")
 def order_linked_list(s):
-    w = F.transform("lines", lambda e, i: F.struct(e["line_no"].cast("string").alias("key"), F.when(i > 0, F.get("lines", i - 1)["line_no"].cast("string")).alias("prev")))
+    near = lambda i: F.get("lines", i)["line_no"].cast("string")
+    w = F.transform("lines", lambda e, i: F.struct(e["line_no"].cast("string").alias("key"), F.when(i > 0, near(i - 1)).alias("prev"), near(i + 1).alias("next")))
     mixed = s.nested_orders().select("order_id", F.reverse(w).alias("items"))
     return arrays.linked_list(mixed, "order_id", "items").select(F.col("id").alias("order_id"), F.array_join("items", ",").alias("lines"))
 
@@ -224,7 +231,9 @@ def previous_value(s):
     return s["events"].select("event_id", F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("prev"))
 
 
-@query("SELECT n.external_id, '{\"balance\":\"x\"}' AS shape FROM crm_t1 n JOIN crm o ON n.external_id = o.external_id WHERE n.balance <> o.balance", "crm_t1")
+@query("SELECT external_id, round(balance, 2) AS was, round(balance + 1, 2) AS now, CASE WHEN k % 20 = 0 THEN 'null' ELSE '-' END AS name_after, CASE WHEN k % 20 = 0 THEN 2 ELSE 1 END AS n FROM crm WHERE k % 10 = 0 AND k % 17 <> 0", "crm")
 def audit_log(s):
-    rows = writers.audit(s["crm_t1"], s["crm"], "external_id", FIELDS)
-    return rows.select("external_id", F.regexp_replace("after", r'"[-0-9.E]+"', '"x"').alias("shape"))
+    new = s["crm_t1"].withColumn("name", F.expr("CASE WHEN k % 20 = 0 THEN NULL ELSE name END"))
+    rows = writers.audit(new, s["crm"], "external_id", FIELDS)
+    at = lambda c: F.round(F.get_json_object(c, "$.balance").cast("double"), 2)
+    return rows.select("external_id", at("before").alias("was"), at("after").alias("now"), F.when(F.contains("after", F.lit('"name":null')), "null").otherwise("-").alias("name_after"), F.size(F.json_object_keys("after")).alias("n"))

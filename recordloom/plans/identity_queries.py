@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import identity as I
+from recordloom.operators import identity as I, state_joins
 from recordloom.operators import stats
 from recordloom.plans.registry import query
 
@@ -54,11 +54,11 @@ def identity_ambiguous(s):
     return members.join(I.ambiguous(members), "component", "left_semi").groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("SELECT canonical_id, external_id FROM ids WHERE connector = 'crm'", "ids")
+@query("SELECT CASE WHEN k % 3 <> 0 THEN 'c' || k END AS canonical_id, external_id FROM crm WHERE k % 4 <> 0 UNION ALL SELECT NULL, 'none-' || n_nationkey FROM nation", "crm")
 def identity_lookup(s):
-    from recordloom.sources.readers import lookup
-
-    return lookup(s["ids"].where("connector = 'crm'"), s["crm"], "external_id").select("canonical_id", "external_id")
+    """Records of one system and some that it does not know."""
+    rows = s["crm"].where("k % 4 <> 0").select("external_id").unionByName(s["nation"].select(F.concat(F.lit("none-"), "n_nationkey").alias("external_id")))
+    return state_joins.canonical_of(rows, s["ids"], "crm").select("canonical_id", "external_id")
 
 
 @query("SELECT e.external_id AS a, c.external_id AS b FROM erp e JOIN crm c ON e.k = c.k WHERE e.k % 4 <> 0", "crm", "erp")

@@ -47,8 +47,10 @@ def jdbc_table(spark: SparkSession, url: str, table: str, watermark_column: str
     return since(df, watermark_column, watermark) if watermark_column else df
 
 
-def triples_scan(triples: DataFrame, kind: str, properties: list[str], type_predicate: str = "a", modified: str | None = None, after: str | None = None) -> DataFrame:
-    """One row for each subject of a type and combination of its optional properties."""
+def triples_scan(triples: DataFrame, kind: str, properties: list[str], type_predicate: str = "a", modified: str | None = None, after: str | None = None, graph: str | None = None) -> DataFrame:
+    """One row for each subject of a type and combination of its optional properties; of one named graph (column ``g``) if given."""
+    if graph is not None:
+        triples = triples.where(F.col("g") == graph)
     out = triples.where((F.col("p") == type_predicate) & (F.col("o") == kind) & ~F.col("s").startswith("_:")).select("s")
     for p in properties:
         out = out.join(triples.where(F.col("p") == p).select("s", F.col("o").alias(p)), "s", "left")
@@ -62,5 +64,11 @@ def folded_events(events: DataFrame, entity: list[str], name: str, value: str, o
     return events.groupBy(*entity, name).agg(F.max_by(value, order).alias(value))
 
 
+def change_records(events: DataFrame, entity: list[str], op: str, deletes: list[str], order: Column) -> DataFrame:
+    """The last event of each entity as a record; a delete gives ``deleted`` true."""
+    last = events.groupBy(*entity).agg(F.max_by(F.struct(*(c for c in events.columns if c not in entity)), order).alias("r")).select(*entity, "r.*")
+    return last.withColumn("deleted", F.coalesce(F.col(op).isin(*deletes), F.lit(False)))
+
+
 def next_watermark(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.max(column).alias("watermark"))

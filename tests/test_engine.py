@@ -131,10 +131,11 @@ def test_identity_groups_skip_blanks(spark):
 
 
 def test_nested_fields_and_linked_lists(spark):
-    df = spark.createDataFrame([(1, [("b", "a"), ("a", None), ("c", "b"), ("x", "y"), ("y", "x")])], "id bigint, items array<struct<key:string,prev:string>>")
-    assert arrays.linked_list(df, "id", "items").first()["items"] == ["a", "b", "c", "x", "y"]
+    rows = [("c", "b", "x"), ("a", None, "b"), ("b", "a", "c"), ("y", "x", None), ("x", "gone", "y"), ("x", "gone", "c"), (None, None, "a")]
+    df = spark.createDataFrame([(1, rows), (2, [("p", "q", "q"), ("q", "p", "p")]), (3, [("m", None, "z"), ("n", "m", None)]), (4, None)], "id int, items array<struct<key:string,prev:string,next:string>>")
+    assert {r["id"]: r["items"] for r in arrays.linked_list(df, "id", "items").collect()} == {1: ["a", "b", "c", "x", "y"], 2: ["p", "q"], 3: ["m", "n"], 4: None}
     near = df.select(arrays.neighbours(F.col("items"), "key").alias("n")).first()["n"]
-    assert [(x["_prev"], x["_next"]) for x in near][:2] == [(None, "a"), ("b", "c")]
+    assert [(x["_prev"], x["_next"]) for x in near][:2] == [(None, "a"), ("c", "b")]
     row = spark.createDataFrame([('{"a":[{"b":3}]}', None)], "doc string, x string")
     assert mapping.inbound(row, [Field("v", source_path="doc.a[0].b", direction="forward_only"), Field("x", default="d")]).first()[:] == ("3", "d")
     with pytest.raises(ValueError):
@@ -143,15 +144,68 @@ def test_nested_fields_and_linked_lists(spark):
 
 def test_ordering_mixes_numbers_text_and_missing(spark):
     df = spark.createDataFrame([([("10", "x"), ("9", "y"), (None, "z"), ("9", "a")],)], "a array<struct<k:string,n:string>>")
-    assert [x["n"] for x in df.select(arrays.ordered(F.col("a"), [("k", True)]).alias("o")).first()["o"]] == ["y", "a", "x", "z"]
+    assert [x["n"] for x in df.select(arrays.ordered(F.col("a"), [("k", True)]).alias("o")).first()["o"]] == ["z", "y", "a", "x"]
 
 
 def test_collect_and_bool_or_decisions(spark):
     schema = "entity string, field string, val string, ts bigint, src string, created bigint"
     inc = spark.createDataFrame([("e", "tags", "b", 1, "x", 1), ("e", "flag", "true", 1, "x", 1), ("e", "new", "1", 0, "x", None)], schema)
     old = spark.createDataFrame([("e", "tags", "a", 9, "y", 1), ("e", "flag", "false", 9, "y", 1)], schema)
-    got = {r["field"]: (r["val"], r["accepted"]) for r in resolve.decide(inc, old, resolve.Policy(strategies={"tags": "collect", "flag": "bool_or"})).collect()}
-    assert got == {"tags": ("a|b", True), "flag": ("true", True), "new": ("1", True)}
+    policy = resolve.Policy(strategies={"tags": "collect", "flag": "bool_or"})
+    got = {r["field"]: (r["val"], r["accepted"]) for r in resolve.decide(inc, old, policy).collect()}
+    assert got == {"tags": ('["a","b"]', True), "flag": ("true", True), "new": ("1", True)}
+    again = spark.createDataFrame([("e", "tags", x, 1, "x", 1) for x in ("a|b", None)], schema)
+    have = spark.createDataFrame([("e", "tags", '["c",null]', 9, "y", 1)], schema)
+    assert sorted(r["val"] for r in resolve.decide(again, have, policy).collect()) == ['["c",null,"a|b"]', '["c",null]']
+
+
+def test_groups_are_taken_or_refused_as_a_whole(spark):
+    schema = "entity string, field string, val string, ts bigint, src string, created bigint"
+    groups = {"street": "addr", "city": "addr"}
+    frame = lambda *rows: spark.createDataFrame([("e", *r) for r in rows], schema)
+    taken = lambda inc, old, **kw: {r["field"]: r["accepted"] for r in resolve.decide(inc, old, resolve.Policy(groups=groups, **kw)).collect()}
+    inc = frame(("street", "new", 9, "a", 5), ("city", "old city", 1, "a", 5), ("name", "n", 1, "a", 5))
+    old = frame(("street", "s", 3, "b", 7), ("city", "c", 4, "b", 7), ("name", "m", 2, "b", 7))
+    assert taken(inc, old) == {"street": True, "city": True, "name": False}
+    assert taken(frame(("street", "new", 2, "a", 5), ("city", "x", 3, "a", 5)), old) == {"street": False, "city": False}
+    # the existing side's newest field may be one that does not come in
+    assert taken(frame(("street", "new", 3, "a", 5)), old) == {"street": False}
+    assert taken(frame(("street", "new", 0, "a", 5)), frame(("name", "m", 2, "b", 7))) == {"street": True}
+    # by origin: the creation time of the newest field's source, equal ones for the incoming
+    mixed = frame(("street", "s", 3, "b", 9), ("city", "c", 4, "c", 4))
+    assert taken(inc, mixed, default="origin_wins") == {"street": False, "city": False, "name": True}
+    assert taken(inc, frame(("city", "c", 40, "c", 5)), default="origin_wins") == {"street": True, "city": True, "name": True}
+    # by priority: a field's own replaces the source's for the whole group
+    late = frame(("street", "new", 1, "a", 5), ("city", "x", 1, "a", 5))
+    assert taken(late, old, priorities={"a": 5, "b": 3}) == {"street": False, "city": False}
+    assert taken(late, old, priorities={"a": 5, "b": 3}, field_priorities={("a", "city"): 1}) == {"street": True, "city": True}
+    assert taken(late, old, priorities={"a": 1, "b": 3}, field_priorities={("a", "city"): 7}) == {"street": False, "city": False}
+
+
+def test_expressions_bind_names_and_nothing_else(spark):
+    schema = "entity string, field string, val string, ts bigint, src string, created bigint"
+    inc = spark.createDataFrame([("e", "a", "xv", 9, "x", 1), ("e", "b", "2", 9, "x", 1)], schema)
+    old = spark.createDataFrame([("e", "a", "vx", 1, "y", 1), ("e", "b", "5", 1, "y", 1)], schema)
+    policy = resolve.Policy(normalize={"a": "array_join(array_sort(split(cast(v as varchar(9)), '')), 'v')"}, reducers={"b": "concat(incoming, ' incoming over existing ', existing)"})
+    got = {r["field"]: (r["val"], r["accepted"]) for r in resolve.decide(inc, old, policy).collect()}
+    assert got == {"a": ("xv", False), "b": ("2 incoming over existing 5", True)}
+
+
+def test_elements_go_through_the_whole_mapping(spark):
+    df = spark.sql("SELECT 'r' AS id, array(named_struct('sku', 'a', 'qty', 2, 'state', 'x', 'in', named_struct('d', 5)), NULL, named_struct('sku', NULL, 'qty', 3, 'state', 'y', 'in', NULL)) AS lines, 'a' AS kind")
+    fields = [
+        Field("items", "lines", element_fields=(
+            Field("code", "sku", default="none"), Field("double", expression="qty * 2 + length('qty')"), Field("status", "state", value_map={"x": "open"}, fallback="null"),
+            Field("deep", source_path="in.d"), Field("label", default_expression="concat(code, '!')"), Field("hidden", "qty", direction="reverse_only"))),
+        Field("kind", value_map={"a": "b", "b": "c"}, default_expression="'a'"),
+        Field("late", default_expression="upper(kind)", default="no"),
+    ]
+    got = mapping.inbound(df, fields, keep=["id"])
+    row = got.first()
+    assert [x and x.asDict() for x in row["items"]] == [{"code": "a", "double": 7, "status": "open", "deep": 5, "label": "a!"}, None, {"code": "none", "double": 9, "status": None, "deep": None, "label": "none!"}]
+    assert (row["kind"], row["late"]) == ("b", "B")
+    back = mapping.outbound(got, [Field("items", "lines", element_fields=(Field("code", "sku"), Field("status", "state", value_map={"x": "open"}), Field("deep", direction="forward_only")))])
+    assert [x and x.asDict() for x in back.first()["lines"]] == [{"sku": "a", "state": "x"}, None, {"sku": "none", "state": None}]
 
 
 def test_sinks_and_sources(spark, tmp_path):
