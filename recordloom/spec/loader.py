@@ -40,6 +40,9 @@ class Member:
     order_by: tuple[tuple[str, bool], ...] = ()
     soft_delete: tuple[str, str] | None = None
     full_snapshot: bool = False
+    watermark: str | None = None
+    updated: str | None = None
+    created: str | None = None
 
 
 @dataclass(frozen=True)
@@ -101,6 +104,7 @@ def _member(raw: dict, channel: str) -> Member:
     return Member(
         name, raw.get("connector", ""), raw.get("entity") or raw.get("array_path") or "", tuple(_field(f, where) for f in raw.get("fields", ())), raw.get("filter"), raw.get("reverse_filter"), raw.get("id_field"), raw.get("parent"), raw.get("array_path"),
         raw.get("element_key"), bool(raw.get("scalar")), tuple(raw.get("parent_fields", ())), order, (soft["type"], soft.get("field") or soft.get("expression", "")) if soft else None, bool(raw.get("full_snapshot")),
+        raw.get("watermark"), raw.get("updated"), raw.get("created"),
     )
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.engine import LINKS, Engine
+from recordloom.engine import Engine
 from recordloom.operators import arrays, assoc, delta, identity, mapping, resolve, stats
 from recordloom.operators.components import connected_components
 from recordloom.operators.mapping import Field
@@ -40,7 +40,7 @@ def test_onboard_then_nothing_then_changes(spark, tmp_path):
     for c in ("crm", "erp"):
         assert e.ingest("contacts", c).count() == 0
     e.read, e.now = systems(spark, [("1", "Ann@x", "Anna", False), ("2", "bob@x", "Bob", False), ("3", "", "Nobody", False), ("4", "cid@X", "Cid", False)], ERP), 2
-    out = {(r["action"], json.loads(r["payload"])["name"]) for r in e.ingest("contacts", "crm").collect()}
+    out = {(r["action"], json.loads(r["payload"])["full_name"]) for r in e.ingest("contacts", "crm").collect()}
     assert out == {("update", "Anna"), ("update", "Cid")}  # the new row meets erp's by its key
     assert e.ingest("contacts", "crm").count() == 0
     e.read = systems(spark, [("1", "Ann@x", "Anna", True), ("2", "bob@x", "Bob", False), ("3", "", "Nobody", False), ("4", "cid@X", "Cid", False)], ERP)
@@ -65,7 +65,7 @@ def test_split_gives_every_link_its_own_id(spark, tmp_path):
     e.onboard("contacts")
     both = e.clusters("contacts").where("crm = '1'").first()
     e.split("contacts", both["component"])
-    assert e.state.read("links_contacts", LINKS).groupBy("canonical_id").count().where("count > 1").count() == 0
+    assert e.table("contacts", "links").groupBy("canonical_id").count().where("count > 1").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -120,7 +120,10 @@ def test_breaker():
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
-    assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 40)}
+    want = {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 40)}
+    assert got == want
+    salted = connected_components(spark.createDataFrame(chain, "a bigint, b bigint"), hub=3)
+    assert {r["node"]: r["component"] for r in salted.collect()} == want
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
