@@ -283,3 +283,66 @@ def test_url_scores_equal_plain_markov_models(spark):
         assert abs(got[i]["score"] - total / max(1, len(u.encode()))) < 1e-8
     free = [r for r in got.values() if r["rule"] is None]
     assert len({(r["score"] >= 0, r["verdict"]) for r in free if abs(r["score"]) > 1}) <= 2
+
+
+def test_language_id_predicts_whole_texts_as_a_plain_network_does(spark):
+    rng = random.Random(41)
+    kinds = {"aa": "the of and thing wh".split(), "bb": "der die ung keit sch".split()}
+    langs = [rng.choice(sorted(kinds)) for _ in range(120)]
+    texts = [prose(rng, rng.randint(1, 900), kinds[x]) for x in langs]
+    df = frame(spark, [*texts, texts[0], None, "żółć ąę", "12"], [*langs, langs[0], None, None, "aa"])
+    net = language_id.fit(df.where(~language_id.held_out()))
+    got = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    for i, t in enumerate([*texts, texts[0]]):
+        rows = language_id.windows(t.encode())
+        pooled = []
+        for parts in net.responses():
+            span = language_id.WINDOW - len(parts) + 1
+            pooled.append(sum(p[rows[:, j : j + span]] for j, p in enumerate(parts)).max(1))
+        weight = np.full(len(rows), language_id.WINDOW)
+        weight[-1] = len(t.encode()) - language_id.WINDOW * (len(rows) - 1)
+        p = weight @ net.head(np.concatenate(pooled, 1)) / weight.sum()
+        assert got[i]["lang_pred"] == net.langs[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-3
+    assert (got[0]["lang_pred"], got[0]["score"]) == (got[120]["lang_pred"], got[120]["score"])
+    assert [got[i]["lang_pred"] == "und" for i in (121, 122, 123)] == [True, False, True]
+
+
+def test_added_secrets_equal_plain_markov_models(spark):
+    rng = random.Random(43)
+    token = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789+/") for _ in range(n))
+    texts = [None, ""] + [f"{prose(rng, 20)} token = {token(24)} {prose(rng, 5)} {token(rng.randint(10, 40))} thethingofandstly_wh {token(18)}" for _ in range(60)]
+    docs = frame(spark, [*texts, texts[5], texts[5]])
+    pairs, single = {k: Counter() for k in ("random", "ordinary")}, {}
+    for t in [*texts, texts[5], texts[5]]:
+        t = t or ""
+        base = [m[2] for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
+        base += [m[0] for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [m[0] for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        words = [w for w in re.findall("[A-Za-z][A-Za-z0-9_]{7,}", t) if sum(c.isdigit() for c in w) <= 2 and not any(w in s for s in base)]
+        for label, values in (("random", [b for b in base if re.fullmatch("[A-Za-z0-9+/_=.-]{2,}", b)]), ("ordinary", words)):
+            for v in values:
+                pairs[label].update(zip(v, v[1:]))  # noqa: B905
+    logs = {}
+    for label, n in pairs.items():
+        code = [chr(43 + i) for i in range(80)]
+        second, firsts = Counter(), Counter()
+        for (a, b), k in n.items():
+            second[b] += k
+            firsts[a] += k
+        total = sum(second.values()) + 0.5 * 80
+        logs[label] = {(a, b): np.log((n[a, b] + 10 * (second[b] + 0.5) / total) / (firsts[a] + 10)) for a in code for b in code}
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        taken = [(a, z) for a, _, z in spans_of(t or "")]
+        want = set()
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t or ""):
+            ratio = sum(logs["random"][p] - logs["ordinary"][p] for p in zip(m[0], m[0][1:]))  # noqa: B905
+            if abs(ratio - np.log(1000)) < 1e-2:
+                want = None
+                break
+            if ratio > np.log(1000) and not any(a < m.end() and m.start() < z for a, z in taken):
+                want.add(f"random:{m.start()}:{m.end()}")
+        if want is not None:
+            assert {x for x in got[i].split(",") if x.startswith("random")} == want
+            added += len(want)
+    assert added > 50 and got[len(texts)] == got[5]
