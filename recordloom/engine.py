@@ -34,6 +34,7 @@ NO_LINK = "a string, b string"
 LOG = "batch_id string, target string, canonical_id string, external_id string, action string, before string, payload string"
 RUNS = "batch_id string, connector string, n_insert bigint, n_update bigint, n_delete bigint, n_defer bigint, n_error bigint, snapshot_at bigint"
 MARKS = "connector string, entity string, mark string"
+KEPT = "connector string, key string, value string"
 ACTIONS = "target string, canonical_id string, external_id string, action string, before string, payload string"
 TABLES = {"facts": FACTS, "records": RECORDS, "links": LINKS, "written": WRITTEN, "deferred": DEFERRED, "no_link": NO_LINK, "log": LOG, "runs": RUNS}
 
@@ -380,6 +381,15 @@ class Engine:
         """All tables of a channel."""
         return {name: self.table(channel, name) for name in TABLES}
 
+    def remembered(self, connector: str) -> dict[str, str]:
+        """What a connector keeps between passes."""
+        return {r["key"]: r["value"] for r in self.state.read("kept", KEPT).where(F.col("connector") == connector).collect()}
+
+    def remember(self, connector: str, **values: str | None) -> None:
+        """Keep small values for a connector; None forgets one."""
+        rows = self.spark.createDataFrame([(connector, k, v) for k, v in values.items()], KEPT)
+        self.state.commit({"kept": materialise(delta.upsert(self.state.read("kept", KEPT), rows, ["connector", "key"]).where("value IS NOT NULL"), "kept")})
+
     def status(self, channel: str) -> str:
         """``ready`` if canonicals span sources, else ``collected`` if any record is known, else ``uninitialized``."""
         names = self._connectors(channel)

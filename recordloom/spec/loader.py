@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from recordloom.operators.mapping import Field
@@ -81,6 +82,11 @@ def _field(raw, where: str) -> Field:
         raise SpecError(f"{name}: unknown strategy {raw['strategy']!r}")
     if raw.get("direction", "bidirectional") not in ("bidirectional", "forward_only", "reverse_only"):
         raise SpecError(f"{name}: unknown direction {raw['direction']!r}")
+    if raw.get("entity_connector") and not raw.get("entity"):
+        raise SpecError(f"{name}: entity_connector needs an entity")
+    table = raw.get("value_map") or {}
+    if len(set(table.values())) < len(table) and not raw.get("reverse_value_map"):
+        warnings.warn(f"{name}: several keys of the value map have one value; the last one is written back", stacklevel=2)
     if "value_map_fallback" in raw:
         raw["fallback"] = raw.pop("value_map_fallback")
     raw["element_fields"] = tuple(_field(f, name) for f in raw.get("element_fields", ()))
@@ -99,6 +105,8 @@ def _member(raw: dict, channel: str) -> Member:
         raise SpecError(f"{where}: one way of ordering at most")
     if raw.get("array_path") and (raw.get("soft_delete") or raw.get("full_snapshot")):
         raise SpecError(f"{where}: array members take neither soft_delete nor full_snapshot")
+    if raw.get("parent") and not raw.get("array_path") and not raw.get("entity"):
+        raise SpecError(f"{where}: a child in its parent's row needs an entity")
     order = tuple((o, True) if isinstance(o, str) else (o["field"], o.get("direction", "asc") != "desc") for o in raw.get("order_by", ()))
     soft = raw.get("soft_delete")
     return Member(
@@ -108,6 +116,20 @@ def _member(raw: dict, channel: str) -> Member:
     )
 
 
+def _over(common: dict, own: dict) -> dict:
+    """A channel's conflict settings over the common ones, key by key; ``fields`` has strategies by field."""
+    own = dict(own)
+    blocks = own.pop("fields", {})
+    if blocks:
+        if "strategy" in blocks:
+            raise SpecError("conflict.fields: 'strategy' is no field name")
+        own["field_strategies"] = {f: b["strategy"] if isinstance(b, dict) else b for f, b in blocks.items()} | own.get("field_strategies", {})
+    for f, strategy in own.get("field_strategies", {}).items():
+        if strategy not in STRATEGIES:
+            raise SpecError(f"conflict: unknown strategy {strategy!r} of {f}")
+    return {k: {**common[k], **own[k]} if k in own and isinstance(common.get(k), dict) else own.get(k, common.get(k)) for k in {**common, **own}}
+
+
 def _promote(members: Sequence[Member], where: str, declared: dict) -> Policy:
     """Field hints of all members as one policy; two members must not contradict each other."""
     strategies: dict[str, str] = {}
@@ -132,8 +154,10 @@ def parse_channels(docs: Sequence[dict], env: dict[str, str] | None = None) -> d
     """Channels of parsed files, merged in the order given."""
     entries: dict[str, list[dict]] = {}
     settings: dict[str, dict] = {}
+    common: dict = {}
     for doc in docs:
         doc = _interpolate(doc, os.environ if env is None else env)
+        common = _over(common, doc.get("conflict", {}))
         for c in doc.get("channels", ()):
             settings.setdefault(c["id"], {}).update(c)
         for e in doc.get("mappings", ()):
@@ -149,7 +173,16 @@ def parse_channels(docs: Sequence[dict], env: dict[str, str] | None = None) -> d
             names[m.name] = m
         own = settings.get(channel, {})
         groups = tuple((g,) if isinstance(g, str) else tuple(g["fields"] if isinstance(g, dict) else g) for g in own.get("identity", ()))
-        out[channel] = Channel(channel, tuple(members), groups, _promote(members, channel, own.get("conflict", {})), bool(own.get("propagate_deletes")))
+        out[channel] = Channel(channel, tuple(members), groups, _promote(members, channel, _over(common, own.get("conflict", {}))), bool(own.get("propagate_deletes")))
+    for c in out.values():  # an array child without a name of its own is called after its source
+        named = [replace(m, entity=f"{names[m.parent].entity}/{m.array_path}") if m.array_path and m.parent in names and m.entity == m.array_path else m for m in c.members]
+        out[c.name] = replace(c, members=tuple(named))
+    known = {m.entity for c in out.values() for m in c.members}
+    for c in out.values():
+        for m in c.members:
+            for f in m.fields:
+                if f.options.get("entity") and f.options["entity"] not in known:
+                    warnings.warn(f"{m.name}.{f.target}: no channel has the entity {f.options['entity']!r}", stacklevel=2)
     for m in names.values():
         seen, at = {m.name}, m
         while at.parent:

@@ -234,3 +234,53 @@ def test_references_and_guards(spark):
     assert [r[0] for r in again.collect()] == ["a"] and [r[0] for r in purge.collect()] == ["c"]
     assert delta.absence_guard(current, current.where("false"), "id").first()["tripped"]
     assert stats.lineage(spark, [("c", "e", [Field("a", "b")])]).first()[:] == ("c", "e", "b", "a", "bidirectional")
+
+
+def test_specs_common_settings_names_and_warnings():
+    base = {"channel": "c", "connector": "x", "entity": "orders", "name": "o"}
+    docs = [
+        {"conflict": {"strategy": "origin_wins", "priorities": {"x": 2, "y": 3}, "fields": {"a": {"strategy": "collect"}}}},
+        {"channels": [{"id": "c", "conflict": {"priorities": {"x": 1}, "fields": {"b": "coalesce"}}}], "mappings": [base, {"channel": "c", "parent": "o", "array_path": "lines", "name": "l"}]},
+    ]
+    c = parse_channels(docs)["c"]
+    assert (c.policy.default, c.policy.priorities, c.policy.strategies) == ("origin_wins", {"x": 1, "y": 3}, {"a": "collect", "b": "coalesce"})
+    assert [m.entity for m in c.members] == ["orders", "orders/lines"]
+    with pytest.warns(UserWarning, match="written back"):
+        parse_channels([{"mappings": [{**base, "fields": [{"target": "a", "value_map": {"1": "x", "2": "x"}}]}]}])
+    with pytest.warns(UserWarning, match="no channel"):
+        parse_channels([{"mappings": [{**base, "fields": [{"target": "a", "entity": "nowhere"}]}]}])
+    for bad in ({"fields": [{"target": "a", "entity_connector": "y"}]}, {"parent": "o", "connector": "", "entity": "", "name": "z"}):
+        with pytest.raises(SpecError):
+            parse_channels([{"mappings": [base, {**base, "name": "p", **bad}]}])
+    for conflict in ({"fields": {"strategy": "x"}}, {"fields": {"a": "guess"}}):
+        with pytest.raises(SpecError):
+            parse_channels([{"conflict": conflict, "mappings": [base]}])
+
+
+def test_breaker_gates_a_stream_and_is_restored(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 5)], "id bigint, v string, ts bigint").write.json(str(tmp_path / "in"))
+    held = {"state": spark.createDataFrame([], "id bigint, v string, ts bigint"), "fail": True}
+
+    def commit(batch_id, acts, state):
+        if held["fail"]:
+            raise ValueError("down")
+        held["state"] = spark.createDataFrame(state.collect(), state.schema)
+
+    b, clock = Breaker(least=1), [0]
+    stream = spark.readStream.schema("id bigint, v string, ts bigint").json(str(tmp_path / "in"))
+    go = lambda: run(stream, lambda: held["state"], commit, "id", ["v"], ["ts"], str(tmp_path / "cp"), breaker=b, now=lambda: clock[0]).awaitTermination()
+    for want in ("down", "too many failures"):
+        with pytest.raises(Exception, match=want):
+            go()
+    clock[0], held["fail"] = 10_000, False
+    go()
+    assert held["state"].count() == 1 and b.state(clock[0]) == "CLOSED"
+    log = spark.createDataFrame([(1, True, 1), (2, False, 2), (3, False, 3)], "n int, ok boolean, at bigint")
+    assert Breaker.restored(log, ["n"], "ok", "at").state(4) == "OPEN"
+
+
+def test_connectors_keep_small_values(spark, tmp_path):
+    e = Engine(spark, parse_channels([SPEC]), str(tmp_path / "s"), systems(spark, CRM, ERP))
+    e.remember("crm", cursor="1", page="2")
+    e.remember("crm", cursor="3", page=None)
+    assert e.remembered("crm") == {"cursor": "3"} and e.remembered("erp") == {}
