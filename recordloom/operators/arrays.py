@@ -112,19 +112,29 @@ def absent_elements(before: DataFrame, now: DataFrame, links: DataFrame) -> tupl
 def walk_up(ids: DataFrame, parents: DataFrame, linked: DataFrame, depth: int = 16) -> DataFrame:
     """``(child_id, root_id)``: the nearest ancestor, or the child itself, that ``linked`` has; children without one are left out.
 
-    ``ids`` and ``linked`` are ``(id)``, parents ``(child_id, parent_id)``.  It stops when no child is left on its way.
+    ``ids`` and ``linked`` are ``(id)``, parents ``(child_id, parent_id)``.  All three are read once: one join marks the children
+    and whatever is a parent.  What is left of the walk, until nothing is on its way, takes the marked parents alone, and the
+    children meet their parents' roots at its end.
     """
-    there = linked.select(F.col("id").alias("at"), F.lit(True).alias("found"))
-    open_, done = ids.select(F.col("id").alias("child_id"), F.col("id").alias("at")), None
-    for _ in range(depth + 1):
-        marked = materialise(open_.join(there, "at", "left"), "walk")
-        hit = marked.where("found").select("child_id", F.col("at").alias("root_id"))
-        done = hit if done is None else done.unionByName(hit)
-        rest = marked.where("found IS NULL")
-        if rest.isEmpty():
+    up = parents.select(F.col("child_id").alias("id"), F.col("parent_id").alias("up"))
+    above = up.select(F.col("up").alias("id")).where("id IS NOT NULL").distinct()
+    nodes = ids.select("id", F.lit(True).alias("start")).unionByName(above.select("id", F.lit(False).alias("start")))
+    found = nodes.join(linked.select("id", F.lit(True).alias("found")), "id", "left").alias("n")
+    # what is found needs no parent, and must not repeat where it has several
+    marked = materialise(found.join(up.alias("u"), F.expr("n.id = u.id AND n.found IS NULL"), "left").select("n.id", "start", "found", "up"), "walk")
+    done = marked.where("start AND found").select(F.col("id").alias("child_id"), F.col("id").alias("root_id"))
+    if depth < 1:
+        return done
+    step = marked.where("NOT start").select(F.col("id").alias("at"), "found", "up")
+    roots = step.where("found").select(F.col("at").alias("up"), F.col("at").alias("root_id"))
+    open_ = step.where("found IS NULL AND up IS NOT NULL").select(F.col("at").alias("id"), F.col("up").alias("at"))
+    for _ in range(depth - 1):
+        if open_.isEmpty():
             break
-        open_ = rest.select("child_id", F.col("at").alias("here")).join(parents.select(F.col("child_id").alias("here"), F.col("parent_id").alias("at")), "here").select("child_id", "at")
-    return done
+        moved = materialise(open_.join(step, "at").where("found OR up IS NOT NULL").select("id", "at", "found", "up"), "walk")
+        roots = roots.unionByName(moved.where("found").select(F.col("id").alias("up"), F.col("at").alias("root_id")))
+        open_ = moved.where("found IS NULL").select("id", F.col("up").alias("at"))
+    return done.unionByName(marked.where("start AND up IS NOT NULL").select(F.col("id").alias("child_id"), "up").join(roots, "up").select("child_id", "root_id"))
 
 
 def rebuild(children: DataFrame, parent: str, order: Sequence[Column], fields: Sequence[str], where: str | None = None, parents: DataFrame | None = None) -> DataFrame:
