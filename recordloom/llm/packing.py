@@ -12,8 +12,8 @@ counters plus offsets of task totals, so no class is gathered in one task, and a
 lookup.  The pieces are written once to the shared folder, because ranks must not change when a task runs again.
 
 Tokens are the library's.  Words of up to 64 Latin characters are cut by the tokenizer's own pattern and remembered; words
-with other letters, special strings or more characters, and texts with the separators 0x1C to 0x1F, are encoded by the
-library as they stand, with the same ids.  A long text takes memory in proportion to its bytes.
+with other letters, special strings, more characters, white space beyond ASCII or the separators 0x1C to 0x1F are encoded by
+the library as they stand, with the same ids.  A long text takes memory in proportion to its bytes.
 
 A null text is empty (it still has the end id).  Rows with one id twice are packed as two documents.  An empty
 table packs into nothing.
@@ -25,11 +25,14 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,13 +45,21 @@ from recordloom.state.shared import materialise
 
 WINDOW, BLOCK, UNIT, SLOTS, DEPTH, END, LONG = 4096, 128, 4, 32, 8, 2, 64
 #: Fixed value: the pre-token pattern of the word-level tokenizer.
-WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")  # and what parts words
+#: Letters whose case rules differ, white space beyond what parts words and what is such only here, special strings.
+ODD = re.compile("[^\x00-\u024f]|[\x0b\x0c\x1c-\x1f\x85\xa0]|<[|]")
+MARK, GROUP = b"\xff" * 4, 4 << 20
+MARK, GROUP = b"\xff" * 4, 1 << 20
 REMAINDER = 100  # class of a remainder of u units: REMAINDER + u; whole windows have class 0, parts their blocks
 
 
 class Words:
-    """Ids as the tokenizer library gives them; each word (no white space in it) is encoded by itself and remembered."""
+    """Ids as the tokenizer library gives them; each word (no white space in it) is encoded by itself and remembered.
+
+    Texts go in groups of about ``GROUP`` bytes: Arrow cuts them at ASCII white space and numbers the different words, and their
+    ids are put in place by number.  Words that aren't known yet are encoded together: a line break parts them, which the
+    pattern keeps as a match, and their ids by four bytes 255, which no id has.
+    """
 
     made: dict[str, Words] = {}
 
@@ -56,10 +67,10 @@ class Words:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.model = self.tok.model
+        self.model, self.most = self.tok.model, memo
         self.write = {b: c for c, b in byte_chars().items()}
         self.pretoken = Memo(self._pretoken, memo)
-        self.word = Memo(self._word, memo)
+        self.word: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, name: str) -> Words:
@@ -71,21 +82,54 @@ class Words:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _pretoken(self, x: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join(map(self.write.__getitem__, x.encode())))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if "<|" in word or len(word) > LONG or max(word) > "ɏ":  # special strings; letters whose case rules differ
-            return self.library(word)
-        word = unicodedata.normalize("NFC", word).lower()
-        return b"".join([self.pretoken[x] for x in WORD_PATTERN.findall(word)])
+        if x == "\n":
+            return MARK
+        if not (x.isascii() and x.isalpha()):  # letters are written as they are
+            x = x.encode().decode("latin-1").translate(self.write)
+        return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Put the ids of ``words`` into ``word``; those too long to be remembered."""
+        long = [w for w in words if len(w) > LONG]
+        joined = "\n".join(words)
+        if long or ODD.search(joined):
+            odd = [w for w in words if len(w) > LONG or ODD.search(w)]
+            self.word.update((w, self.library(w)) for w in odd)
+            words = [w for w in words if w not in self.word]
+            joined = "\n".join(words)
+        if words:
+            found = WORD_PATTERN.findall(unicodedata.normalize("NFC", joined).lower())
+            self.word.update(zip(words, b"".join(map(self.pretoken.__getitem__, found)).split(MARK), strict=True))
+        return long
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        seen = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in seen if w not in self.word]
+        if len(self.word) + len(new) > self.most:  # forget what this group doesn't have
+            self.word = {w: self.word[w] for w in seen if w in self.word}
+        long = self._learn(new)
+        known = [self.word[w] for w in seen]
+        for w in long:  # long words are encoded, but not remembered
+            del self.word[w]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), np.uint32)[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(n.sum())]
+        last = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))].tolist()
+        return [ids[a:z].tobytes() for a, z in pairwise(last)]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in turn."""
+        groups = np.cumsum(pc.binary_length(texts).to_numpy()) // GROUP
+        starts = np.flatnonzero(np.diff(groups, prepend=-1)).tolist()
+        for a, z in pairwise([*starts, len(texts)]):
+            yield from self._group(texts.slice(a, z - a))
 
     def encode(self, text: str) -> bytes:
-        if SEPARATORS.search(text):  # white space here, but not to the library
-            return self.library(text)
-        words = text.split()
-        if max(map(len, words), default=0) > LONG:  # long words are encoded, but not remembered
-            return b"".join([self.word[w] if len(w) <= LONG else self._word(w) for w in words])
-        return b"".join(map(self.word.__getitem__, words))
+        return self._group(pa.array([text]))[0]
 
 
 @lru_cache
@@ -279,8 +323,8 @@ def pieces(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame
         end = END.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids = words.encode(text) + end
+            for i, ids in enumerate(words.encode_all(b.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 cuts = [(s, WINDOW, 0) for s in range(0, n - WINDOW + 1, WINDOW)]
                 at = n - n % WINDOW

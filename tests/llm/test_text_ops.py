@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -89,6 +90,32 @@ def test_words_fuzz_equals_the_library():
         assert words.encode(t) == words.library(t), t
 
 
+def test_words_of_many_texts_are_encoded_together(monkeypatch):
+    """One cut by the pattern and one lookup of each different word a group; before, each text and each unknown word had its own."""
+    rng = random.Random(23)
+    pieces = ["the", "Ungeinein", "laèierenon.", "a'sb", "ouletre%%%", "漢字", "İıſ", "\x1cx", "\x0b", "\u00a0", "<|endoftext|>", "x" * 70, "", "\x7f\x00", "Ⱥñ", "9½"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "\n", "\t ", "\r\n", "\x0c", ""]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    calls = []
+
+    class Pattern:
+        def findall(self, text):
+            calls.append(text)
+            return pattern.findall(text)
+
+    pattern = packing.WORD_PATTERN
+    monkeypatch.setattr(packing, "WORD_PATTERN", Pattern())
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    want = [words.library(t) for t in texts]
+    sliced = pa.array(["left out", *texts]).slice(1)
+    assert list(words.encode_all(sliced)) == want and len(calls) == 1
+    assert list(words.encode_all(sliced)) == want and len(calls) == 1
+    assert list(words.encode_all(pa.array([], pa.string()))) == []
+    monkeypatch.setattr(packing, "GROUP", 100)
+    small = packing.Words(public_tokenizers.path("word_bpe_49k.json"), memo=5)
+    assert list(small.encode_all(sliced)) == want
+    assert max(map(len, small.word)) <= packing.LONG
+
+
 def test_round_trip_digests(spark):
     for r in bpe_tree.round_trip(frame(spark)).collect():
         assert r["decoded_sha256"] == hashlib.sha256((TEXTS[r["doc_id"]] or "").encode()).hexdigest()
